@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adherix.llm import p2_split, p5_neighbours
+from adherix.llm import p1_overlap, p2_split, p5_neighbours, p6_leaks, p7_mix
 from adherix.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,10 +14,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: p1_overlap.found(table(s, d, "pairs")),
+        "p1_report": lambda s, d: p1_overlap.report(table(s, d, "pairs")),
         "p2_found": lambda s, d: p2_split.found(table(s, d, "function_chunks")),
         "p2_pieces": lambda s, d: p2_split.split_oversized(table(s, d, "function_chunks")),
         "p5_found": lambda s, d: p5_neighbours.found(table(s, d, "pattern_index")),
         "p5_neighbours": lambda s, d: p5_neighbours.most_similar(table(s, d, "pattern_index")),
+        "p6_found": lambda s, d: p6_leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p6_report": lambda s, d: p6_leaks.report(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p7_mix": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
+        "p7_full_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"), total_tokens=p7_mix.ALL)[1],
+        "p7_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
     }
 
 
