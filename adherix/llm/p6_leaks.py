@@ -1,11 +1,11 @@
 """Problem 6: evaluation texts that leak into the corpus.
 
 A distributed positional inverted index.  Corpus frequencies of the evaluation
-terms come from all documents; of every window of ``WINDOW`` words of an item the
-rarest terms are its anchors.  The postings (term, document, position) of the
-anchor terms are stored and joined with the anchors on the term; offset-adjusted
-positions that agree on all anchors of a window are candidates, and each is
-confirmed in the document's words.
+terms come from all documents; the rarest term of an item's window of ``WINDOW`` words
+is its anchor, and anchors are so placed that every such window holds one.  The
+postings (term, document, position) of the anchor terms are stored and joined with
+the anchors on the term; positions less offsets give the alignments, and each is
+confirmed and extended in the document's words.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from adherix.session import broadcast_below, cut
 
 WINDOW = 18
-ANCHORS = 3
 #: Beyond so many distinct terms the corpus side is not filtered on the map side but by a join.
 VOCABULARY = 2_000_000
 _WORD = re.compile(r"\w+")
@@ -73,21 +72,20 @@ def postings(documents: DataFrame, vocabulary: frozenset | None = None) -> DataF
     return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_postings(vocabulary), "term string, doc_id long, pos int")
 
 
-def _anchors(window: int, anchors: int):
-    """Per item: windows such that every run of ``window`` words holds the first anchor of one, with its rarest terms."""
+def _anchors(window: int):
+    """Per item its anchors: rarest terms so placed that every run of ``window`` words holds one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for item, ws, ns in zip(b["item_id"], b["words"], b["ns"]):
-                ws, ns, start, w = list(ws), list(ns), 0, 0
+                ws, ns, start = list(ws), list(ns), 0
                 size = min(window, len(ws))
                 while size and start + size <= len(ws):
                     at = min(range(start, start + size), key=lambda i: (ns[i], i))
-                    # the window's other anchors lie where every run that covers ``at`` may miss them, so they only confirm
-                    rows.append((item, w, ws[at], at))
-                    w, start = w + 1, at + 1
-            yield pd.DataFrame(rows, columns=["item_id", "win", "term", "off"])
+                    rows.append((item, ws[at], at))
+                    start = at + 1
+            yield pd.DataFrame(rows, columns=["item_id", "term", "off"])
 
     return run
 
@@ -100,16 +98,19 @@ def _confirm(window: int):
                 ws = words(text)
                 best: dict = {}
                 for c in cands:
-                    item, its, pos, off = c["item_id"], c["words"], c["pos"], c["off"]
-                    i, j = pos, off
-                    while i > 0 and j > 0 and ws[i - 1] == its[j - 1]:
-                        i, j = i - 1, j - 1
-                    e, f = pos + 1, off + 1
-                    while e < len(ws) and f < len(its) and ws[e] == its[f]:
-                        e, f = e + 1, f + 1
-                    n = e - i
-                    if n >= min(window, len(its)) and n > best.get(item, (0,))[0]:
-                        best[item] = (n, i, len(its))
+                    item, its, upto = c["item_id"], c["words"], 0
+                    for pos in sorted(c["places"]):
+                        if pos < upto:  # inside the run just measured
+                            continue
+                        i, j = pos, pos - c["delta"]
+                        while i > 0 and j > 0 and ws[i - 1] == its[j - 1]:
+                            i, j = i - 1, j - 1
+                        upto, f = pos + 1, pos - c["delta"] + 1
+                        while upto < len(ws) and f < len(its) and ws[upto] == its[f]:
+                            upto, f = upto + 1, f + 1
+                        n = upto - i
+                        if n >= min(window, len(its)) and n > best.get(item, (0,))[0]:
+                            best[item] = (n, i, len(its))
                 rows += [(doc, item, n, at, n / size) for item, (n, at, size) in best.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched_words", "at_word", "item_share"])
 
@@ -133,18 +134,21 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
         got = df.limit(VOCABULARY + 1).collect()
         return frozenset(r[0] for r in got) if len(got) <= VOCABULARY else None
 
-    counts = docs.select("text").mapInPandas(_frequencies(bounded(terms)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    flat = its.select("item_id", F.posexplode("words").alias("off", "term")).join(counts.join(terms, "term", "left_semi"), "term", "left")
+    counts = cut(docs.select("text").mapInPandas(_frequencies(bounded(terms)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi"))
+    flat = its.select("item_id", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
     known = flat.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("off", "term", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"))).alias("t"))
-    anchors = cut(known.select("item_id", F.col("t.term").alias("words"), F.col("t.n").alias("ns")).mapInPandas(_anchors(window, ANCHORS), "item_id long, win int, term string, off int").join(counts.select("term").distinct(), "term", "left_semi"))
+    chosen = known.select("item_id", F.col("t.term").alias("words"), F.col("t.n").alias("ns")).mapInPandas(_anchors(window), "item_id long, term string, off int")
+    anchors = cut(chosen.join(counts, "term", "left_semi"))  # an anchor that the corpus lacks rules its windows out
     few = bounded(anchors.select("term").distinct())
     index = postings(docs, few)
     hits = index.join(anchors, "term").select("doc_id", "item_id", "pos", "off")
-    # one anchor hit per alignment: windows of one item that agree on the offset confirm each other
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("delta")).agg(F.min(F.struct("pos", "off")).alias("p"), F.collect_list(F.struct("pos", "off")).alias("all"))
+    # anchors of one item that agree on the offset are one alignment
+    aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("delta")).agg(F.collect_list("pos").alias("places"))
     n_items = its.count()
-    cands = aligned.join(broadcast_below(its, n_items, 4000), "item_id").select("doc_id", F.explode("all").alias("p"), "item_id", "words")
-    by_doc = cands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", F.col("p.pos").alias("pos"), F.col("p.off").alias("off"))).alias("cands"))
+    cands = aligned.join(broadcast_below(its, n_items, 4000), "item_id")
+    by_doc = cut(cands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "delta", "places")).alias("cands")))
+    n_docs = by_doc.count()
+    docs = docs.join(broadcast_below(by_doc.select("doc_id"), n_docs, 24), "doc_id", "left_semi")
     return docs.join(by_doc, "doc_id").mapInPandas(_confirm(window), "doc_id long, item_id long, matched_words int, at_word int, item_share double").groupBy("doc_id", "item_id").agg(
         F.max("matched_words").alias("matched_words"), F.max_by("at_word", "matched_words").alias("at_word"), F.max("item_share").alias("item_share"))
 
