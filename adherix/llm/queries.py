@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adherix.llm import p1_overlap, p2_split, p5_neighbours, p6_leaks, p7_mix
+from adherix.llm import p1_overlap, p2_split, p5_neighbours, p6_leaks, p7_mix, p8_residue
 from adherix.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,8 @@ def queries() -> dict[str, Query]:
         "p7_mix": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
         "p7_full_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"), total_tokens=p7_mix.ALL)[1],
         "p7_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
+        "p8_found": lambda s, d: p8_residue.found(table(s, d, "documents")),
+        "p8_residue": lambda s, d: p8_residue.residue(table(s, d, "documents")),
     }
 
 
