@@ -3,9 +3,10 @@
 A distributed positional inverted index.  Corpus frequencies of the evaluation
 terms come from all documents; the rarest term of an item's window of ``WINDOW`` words
 is its anchor, and anchors are so placed that every such window holds one.  The
-postings (term, document, position) of the anchor terms are stored and joined with
-the anchors on the term; positions less offsets give the alignments, and each is
-confirmed and extended in the document's words.
+postings (term, document, position) of the anchor terms are stored with their
+offset-adjusted neighbours and joined with the anchors on both, so a common term
+meets an item only where its neighbourhood agrees; positions less offsets give the
+alignments, and each is confirmed and extended in the document's words.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +54,45 @@ def _frequencies(vocabulary: frozenset | None):
     return run
 
 
-def _postings(vocabulary: frozenset | None):
+def _key(ws: list[str], at: int, step: int) -> int:
+    """Digest of the word at ``at`` and its ``abs(step)`` neighbours on one side."""
+    part = ws[at + step : at + 1] if step < 0 else ws[at : at + step + 1]
+    return xxhash.xxh3_64_intdigest(f"{step}\0" + "\0".join(part)) - (1 << 63)
+
+
+def _postings(vocabulary: frozenset | None, contexts: list[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            terms, docs, places = [], [], []
+            terms, docs, places, keys = [], [], [], []
             for doc, t in zip(b["doc_id"], b["text"]):
                 ws = words(t)
-                hit = [i for i, w in enumerate(ws) if vocabulary is None or w in vocabulary]
-                terms += [ws[i] for i in hit]
-                docs += [doc] * len(hit)
-                places += hit
-            yield pd.DataFrame({"term": terms, "doc_id": np.array(docs, np.int64), "pos": np.array(places, np.int32)})
+                for i, w in enumerate(ws):
+                    if vocabulary is None or w in vocabulary:
+                        terms.append(w)
+                        docs.append(doc)
+                        places.append(i)
+                        keys.append([_key(ws, i, c) for c in contexts if 0 <= i + c < len(ws)])
+            yield pd.DataFrame({"term": terms, "doc_id": np.array(docs, np.int64), "pos": np.array(places, np.int32), "keys": keys})
 
     return run
 
 
-def postings(documents: DataFrame, vocabulary: frozenset | None = None) -> DataFrame:
-    """term, doc_id, pos: the positional inverted index of the documents, of ``vocabulary`` or of all terms."""
-    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_postings(vocabulary), "term string, doc_id long, pos int")
+def postings(documents: DataFrame, vocabulary: frozenset | None = None, contexts: list[int] = ()) -> DataFrame:
+    """term, doc_id, pos, keys: the positional inverted index of the documents, of ``vocabulary`` or of all terms.
+
+    ``keys`` are the offset-adjusted neighbours of the posting, one digest for each
+    of ``contexts`` (words to the left if negative, to the right if positive).
+    """
+    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_postings(vocabulary, list(contexts)), "term string, doc_id long, pos int, keys array<long>")
 
 
 def _anchors(window: int):
-    """Per item its anchors: rarest terms so placed that every run of ``window`` words holds one."""
+    """Per item its anchors: rarest terms so placed that every run of ``window`` words holds one.
+
+    A run that covers an anchor holds at least half of the window's other words on
+    one side of it, so the neighbours on either side make two keys of which every
+    leak has one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -81,11 +100,12 @@ def _anchors(window: int):
             for item, ws, ns in zip(b["item_id"], b["words"], b["ns"]):
                 ws, ns, start = list(ws), list(ns), 0
                 size = min(window, len(ws))
+                context = size // 2
                 while size and start + size <= len(ws):
                     at = min(range(start, start + size), key=lambda i: (ns[i], i))
-                    rows.append((item, ws[at], at))
+                    rows += [(item, ws[at], at, c, _key(ws, at, c)) for c in {-context, context} if 0 <= at + c < len(ws)]
                     start = at + 1
-            yield pd.DataFrame(rows, columns=["item_id", "term", "off"])
+            yield pd.DataFrame(rows, columns=["item_id", "term", "off", "context", "key"])
 
     return run
 
@@ -137,11 +157,12 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     counts = cut(docs.select("text").mapInPandas(_frequencies(bounded(terms)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi"))
     flat = its.select("item_id", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
     known = flat.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("off", "term", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"))).alias("t"))
-    chosen = known.select("item_id", F.col("t.term").alias("words"), F.col("t.n").alias("ns")).mapInPandas(_anchors(window), "item_id long, term string, off int")
+    chosen = known.select("item_id", F.col("t.term").alias("words"), F.col("t.n").alias("ns")).mapInPandas(_anchors(window), "item_id long, term string, off int, context int, key long")
     anchors = cut(chosen.join(counts, "term", "left_semi"))  # an anchor that the corpus lacks rules its windows out
     few = bounded(anchors.select("term").distinct())
-    index = postings(docs, few)
-    hits = index.join(anchors, "term").select("doc_id", "item_id", "pos", "off")
+    contexts = [r[0] for r in anchors.select("context").distinct().collect()]  # at most twice the window's half
+    index = postings(docs, few, contexts)
+    hits = index.select("doc_id", "pos", F.explode("keys").alias("key")).join(anchors.select("key", "item_id", "off"), "key").select("doc_id", "item_id", "pos", "off").distinct()
     # anchors of one item that agree on the offset are one alignment
     aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("delta")).agg(F.collect_list("pos").alias("places"))
     n_items = its.count()
