@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adherix.llm import p1_overlap, p2_split, p3_provenance, p5_neighbours, p6_leaks, p7_mix, p8_residue
+from adherix.llm import p1_overlap, p2_split, p3_provenance, p4_syntax, p5_neighbours, p6_leaks, p7_mix, p8_residue
 from adherix.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "p2_pieces": lambda s, d: p2_split.split_oversized(table(s, d, "function_chunks")),
         "p3_found": lambda s, d: p3_provenance.found(table(s, d, "function_chunks"), table(s, d, "lib_files")),
         "p3_provenance": lambda s, d: p3_provenance.provenance(table(s, d, "function_chunks"), table(s, d, "lib_files")),
+        "p4_found": lambda s, d: p4_syntax.found(table(s, d, "function_chunks")),
+        "p4_rates": lambda s, d: p4_syntax.rates(table(s, d, "function_chunks")),
         "p5_found": lambda s, d: p5_neighbours.found(table(s, d, "pattern_index")),
         "p5_neighbours": lambda s, d: p5_neighbours.most_similar(table(s, d, "pattern_index")),
         "p6_found": lambda s, d: p6_leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
