@@ -1,23 +1,194 @@
-"""The registered queries of the core library and their SQL."""
+"""The registered queries of the core library; their SQL is in ``sql``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from adherix.session import table
+from adherix.functions import rules
+from adherix.functions.records import latest
+from adherix.operators import aggregate, classify, functions, history, report, scan, similarity, training
+from adherix.plans import sql
+from adherix.session import cut, table
+from adherix.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
+SOURCE = ["repo", "file_path", "function_code"]
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return table(spark, sf_dir, "pattern_index").groupBy("domain").count()
+def files(s: SparkSession, d: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each chunk as a file, its last delivery."""
+    one = latest(table(s, d, "function_chunks").where("chunk_id IS NOT NULL").select("chunk_id", "ingested_at", *SOURCE), ["chunk_id"], ["ingested_at"], SOURCE)
+    base = scan.as_files(one, "chunk_id", "file_path", "function_code")
+    return base.join(one.select(F.col("chunk_id").alias("file_id"), *extra), "file_id") if extra else base
+
+
+def index(s: SparkSession, d: str) -> DataFrame:
+    """The usable vectors of the similarity index, one record per ref_id."""
+    raw = table(s, d, "pattern_index").where("ref_id IS NOT NULL AND domain IS NOT NULL").select("ref_id", "ref_ord", "domain", "file_path", "commit_id", "embedding")
+    return latest(raw, ["ref_id"], ["ref_ord"], ["domain", "file_path", "commit_id", "embedding"]).where(similarity.usable(F.col("embedding"), 64))
+
+
+def near(s: SparkSession, d: str) -> DataFrame:
+    """The log of an earlier search: one record per query and rank, similarities held to [-1, 1]."""
+    one = latest(table(s, d, "neighbors"), ["query_id", "rank"], ["searched_at"]).where("similarity IS NOT NULL")
+    return one.withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "similarity")))
+
+
+def knn(s: SparkSession, d: str) -> DataFrame:
+    i = index(s, d).select("ref_id", "domain", "embedding")
+    return similarity.knn(i.where("ref_id % 50 = 0").withColumnRenamed("ref_id", "query_id"), i)
+
+
+def dims(s: SparkSession, d: str) -> DataFrame:
+    return near(s, d).select("query_id", F.col("rank").cast("string").alias("dimension"), F.col("similarity").alias("score"), (1.0 / F.col("rank")).alias("weight"))
+
+
+def scored(s: SparkSession, d: str) -> DataFrame:
+    return near(s, d).groupBy(F.col("ref_file").alias("file_id"), "domain").agg(F.max("similarity").alias("score"))
+
+
+def three(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d))
+    return scan.scores(f, "architectural").unionByName(scan.scores(f, "typescript")).unionByName(scan.scores(f, "framework"))
+
+
+def three_recommendations(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d))
+    return scan.recommendations(f, "architectural").unionByName(scan.recommendations(f, "typescript")).unionByName(scan.recommendations(f, "framework"))
+
+
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def FLAGSHIP(s: SparkSession, d: str) -> DataFrame:  # noqa: N802
+    """Mean adherence per domain: normalise, exact top 5 within the domain, adaptive score, roll-up."""
+    return similarity.adaptive(knn(s, d)).groupBy("domain").agg(F.count("*").alias("queries"), F.round(F.avg("score"), 6).alias("mean_adherence"), F.sum("hits").alias("neighbours"))
+
+
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    x = classify.signals(files(s, d)).where("combined > 0").select("file_id", "domain", "path_score", "import_score", "content_score", "combined")
+    return r6(x, "path_score", "import_score", "content_score", "combined")
+
+
+def _divergence(s: SparkSession, d: str) -> DataFrame:
+    i = cut(index(s, d))
+    q = i.select("ref_id", "domain", "embedding")
+    n = similarity.knn(q.where("ref_id % 50 = 0").withColumnRenamed("ref_id", "query_id"), q)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("diff", 9)), "dim")
+    return r6(similarity.divergence(i, n).withColumn("p", F.row_number().over(w)).where("p <= 20").drop("p"), "diff")
+
+
+def _code_focused(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d))
+    sc = scan.scores(f, "architectural").unionByName(scan.scores(f, "typescript")).unionByName(scan.scores(f, "framework")).select("file_id", "analyzer", F.round("score", 6).alias("score"))
+    return r6(aggregate.code_focused(sc.join(classify.classify(f).select("file_id", "domain"), "file_id"), classify.DOMAIN_IMPORTANCE, ["analyzer"]), "code_focused_score")
+
+
+def _patterns_by_type(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d))
+    all_ = scan.pattern_matches(f, scan.ANALYZERS[0])
+    for a in scan.ANALYZERS[1:]:
+        all_ = all_.unionByName(scan.pattern_matches(f, a))
+    return all_.groupBy("pattern_type").agg(F.sum("matches").alias("matches"), F.count("*").alias("files"), F.round(F.sum(F.col("confidence") * F.col("matches")) / F.sum("matches"), 6).alias("mean_confidence"))
+
+
+def _compare(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d, ("repo",)))
+    sc = scan.scores(f, "architectural").unionByName(scan.scores(f, "typescript")).unionByName(scan.scores(f, "framework"))
+    means = cut(sc.select("file_id", "analyzer", F.round("score", 6).alias("score")).join(f.select("file_id", "repo"), "file_id").groupBy("repo", "analyzer").agg(F.avg("score").alias("score")))
+    base = means.agg(F.min("repo")).first()[0]
+    return r6(report.compare(means, base, "repo", "analyzer").select("repo", "analyzer", "difference", "per_cent"), "difference", "per_cent")
+
+
+def _secondaries(s: SparkSession, d: str) -> DataFrame:
+    return r6(classify.classify(files(s, d)).select("file_id", F.explode("secondaries").alias("x")).select("file_id", "x.domain", "x.score"), "score")
+
+
+def _functions(s: SparkSession, d: str) -> DataFrame:
+    whole = files(s, d).where("path LIKE '%.py'")
+    return functions.extract_functions(whole).groupBy("path").agg(F.count("*").alias("chunks"), F.count_if("is_method").alias("methods"), F.sum(F.length("code")).alias("chars"))
+
+
+def _embedded(s: SparkSession, d: str) -> DataFrame:
+    f = files(s, d).where("content <> ''")
+    e = similarity.embed(f).join(f.select("file_id", scan.F.regexp_extract("name", r"\.([^.]+)$", 1).alias("domain")), "file_id").where(similarity.usable(F.col("embedding"), 64))
+    i = cut(e.select(F.col("file_id").alias("ref_id"), "domain", "embedding"))
+    return r6(similarity.knn(i.where("ref_id % 50 = 0").withColumnRenamed("ref_id", "query_id"), i), "similarity")
+
+
+def _filters(f: DataFrame) -> DataFrame:
+    return f.select("file_id", F.col("path").rlike(r"__pycache__|\.git|node_modules|\.venv|dist|build|\.next").alias("excluded"), F.lower("path").rlike(r"test_|_test\.|\.test\.|spec_|_spec\.|\.spec\.").alias("is_test"), F.col("path").rlike(r"\.generated\.|_generated\.|\.d\.ts").alias("is_generated"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    out: dict[str, Query] = {}
+    for a in scan.ANALYZERS:
+        out[f"patterns_{a}"] = lambda s, d, a=a: scan.pattern_matches(files(s, d), a)
+        out[f"recommendations_{a}"] = lambda s, d, a=a: scan.recommendations(files(s, d), a)
+        out[f"scores_{a}"] = lambda s, d, a=a: r6(scan.scores(files(s, d), a).drop("path"), "score")
+    agg = lambda s, d: aggregate.aggregate(dims(s, d), ["query_id"])
+    out |= {
+        "file_suffixes": lambda s, d: files(s, d).groupBy(F.regexp_extract("name", r"^.+(\.[^.]+)$", 1).alias("suffix")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")),
+        "file_filters": lambda s, d: _filters(files(s, d)),
+        "path_kinds": lambda s, d: files(s, d).selectExpr("file_id", f"{rules.COMPONENT} AS component", f"{rules.APP} AS app_router", f"{rules.API} AS api_route", f"{rules.PAGE} AS page", f"{rules.LAYOUT} AS layout"),
+        "import_lines": lambda s, d: scan.import_lines(files(s, d)),
+        "import_grouping": lambda s, d: r6(scan.import_grouping(files(s, d)), "organisation"),
+        "lines_and_nesting": lambda s, d: scan.complexity(files(s, d)).select("file_id", "lines", "nesting"),
+        "complexity": lambda s, d: scan.complexity(files(s, d)),
+        "match_details": lambda s, d: scan.match_details(files(s, d), "type_guards"),
+        "domain_signals": _signals,
+        "domain_classification": lambda s, d: r6(classify.classify(files(s, d)).select("file_id", "domain", "confidence"), "confidence"),
+        "domain_secondaries": _secondaries,
+        "index_members": lambda s, d: similarity.index_members(classify.classify(files(s, d))).select("file_id", "domain"),
+        "vector_norms": lambda s, d: r6(index(s, d).select("ref_id", "domain", similarity.norm(F.col("embedding")).alias("norm")), "norm"),
+        "knn_top5": lambda s, d: r6(knn(s, d), "similarity"),
+        "adaptive_scores": lambda s, d: r6(similarity.adaptive(knn(s, d)).drop("best"), "score"),
+        "file_adherence": lambda s, d: r6(similarity.file_adherence(index(s, d).where("ref_id % 50 = 0"), similarity.adaptive(knn(s, d))), "score"),
+        "adherence_by_domain": FLAGSHIP,
+        "adherence_confidence": lambda s, d: r6(similarity.adaptive(knn(s, d)).select("query_id", ((0.5 + F.least(F.lit(1.0), F.col("hits") / 5.0) + F.col("best")) / 3).alias("confidence")), "confidence"),
+        "divergence_top20": _divergence,
+        "index_stats": lambda s, d: index(s, d).groupBy("domain").agg(F.count("*").alias("vectors"), F.count_distinct("file_path").alias("files"), F.count_distinct("commit_id").alias("commits")),
+        "best_compatible": lambda s, d: r6(near(s, d).where(F.col("ref_file").rlike(r"\.(ts|tsx|js|jsx)$")).groupBy("query_id").agg(F.max_by("ref_file", F.struct("similarity", "ref_file")).alias("ref_file"), F.max("similarity").alias("similarity")), "similarity"),
+        "neighbour_log": lambda s, d: r6(near(s, d).select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id", "domain", "similarity"), "similarity"),
+        "embedded_knn": _embedded,
+        "extracted_functions": _functions,
+        "weighted_means": lambda s, d: r6(agg(s, d).select("query_id", *aggregate.METHODS), *aggregate.METHODS),
+        "score_confidence": lambda s, d: r6(agg(s, d).select("query_id", "confidence"), "confidence"),
+        "score_statistics": lambda s, d: r6(agg(s, d).select("query_id", "n", "mean", "median", "std", "low", "high", "range"), "mean", "median", "std", "low", "high", "range"),
+        "importance": lambda s, d: r6(aggregate.importance(dims(s, d), ["query_id"]).drop("contribution"), "importance"),
+        "score_bands": lambda s, d: scored(s, d).groupBy(aggregate.band("score").alias("band")).agg(F.count("*").alias("n")),
+        "domain_breakdown": lambda s, d: r6(aggregate.domain_breakdown(scored(s, d)), "mean", "low", "high"),
+        "top_files": lambda s, d: r6(report.top_files(scored(s, d)), "score"),
+        "batch_summary": lambda s, d: r6(report.batch_summary(scored(s, d), "file_id"), "mean", "low", "high"),
+        "quality_gate": lambda s, d: report.gate(scored(s, d), 0.7).groupBy("domain").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed")),
+        "dimension_means": lambda s, d: r6(aggregate.dimension_mean(three(s, d).withColumns({"domain": F.lit("unknown"), "score": F.round("score", 6)})), "score"),
+        "code_focused": _code_focused,
+        "patterns_by_type": _patterns_by_type,
+        "file_level_pivot": lambda s, d: three(s, d).groupBy("file_id").pivot("analyzer", ["architectural", "typescript", "framework"]).agg(F.round(F.max("score"), 6)),
+        "feedback": lambda s, d: report.feedback(three_recommendations(s, d)).select("file_id", "analyzer", "rule_id", "severity", "category", "place"),
+        "compare_repos": _compare,
+        "commit_metadata": lambda s, d: history.commits(table(s, d, "commits")).select("commit_id", "repo", "author", "message", F.size("parent_ids").cast("long").alias("parents"), F.col("insertions").cast("long").alias("insertions"), F.col("deletions").cast("long").alias("deletions")),
+        "parent_commits": lambda s, d: history.resolve_parent(table(s, d, "commits")),
+        "commit_lateness": lambda s, d: history.lateness(table(s, d, "commits")),
+        "changed_lines": lambda s, d: files(s, d).where(F.contains("content", F.lit("\n+")) | F.startswith("content", F.lit("+"))).select("file_id", history.changed_lines(F.col("content")).alias("added")),
+        "training_samples": lambda s, d: training.samples(files(s, d)).select("file_id", F.length("content").cast("long").alias("chars")),
+        "positive_pairs": lambda s, d: training.positive_pairs(index(s, d).select(F.col("ref_id").alias("id"), "domain")),
+        "negative_pairs": lambda s, d: training.cross_domain_negatives(index(s, d).select(F.col("ref_id").alias("id"), "domain")),
+        "corrupted_code": lambda s, d: files(s, d).where("content <> ''").select("file_id", F.md5(training.corrupt(F.col("content"))).alias("digest")),
+        "triplet_split": lambda s, d: training.split(table(s, d, "pairs").select("pair_id").distinct(), "pair_id").groupBy("split").agg(F.count("*").alias("n")),
+        "infonce_loss": lambda s, d: r6(training.infonce(near(s, d).groupBy("query_id").agg(F.max("similarity").alias("positive"), F.min("similarity").alias("negative"), F.count("*").alias("k")).where("k > 1")), "loss"),
+        "token_budget": lambda s, d: files(s, d).select("file_id", F.regexp_count("content", F.lit(r"\w+|[^\w\s]")).cast("long").alias("tokens")).where("tokens <= 2048"),
+        "data_share": lambda s, d: r6(files(s, d).select("file_id", functions.data_share(F.col("content")).alias("share")), "share"),
+        "event_windows": lambda s, d: windows.event_windows(table(s, d, "events")).withColumn("total", F.round("total", 4)),
+        "event_sessions": lambda s, d: windows.sessions(table(s, d, "events")),
+    }
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    known = queries()
+    return {k: v for k, v in sql.oracle_sql().items() if k in known}
