@@ -184,7 +184,7 @@ def _search(models: dict, k: int):
                         out["cls"].append(q_ids[a + i])
                         out["near"].append(best[i][ok])
                         out["sims"].append(sims[i][ok])
-        return pd.DataFrame(out)
+        return pd.DataFrame({k: pd.Series(v, dtype="int64" if k == "cls" else object) for k, v in out.items()})
 
     return run
 

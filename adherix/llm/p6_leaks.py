@@ -36,7 +36,7 @@ def words(text: str) -> list[str]:
 
 def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"item_id": b["item_id"], "words": [words(t) for t in b["text"]]})
+        yield pd.DataFrame({"item_id": b["item_id"], "words": pd.Series([words(t) for t in b["text"]], dtype=object)})
 
 
 def _frequencies(vocabulary: frozenset | None):
@@ -72,7 +72,7 @@ def _postings(vocabulary: frozenset | None, contexts: list[int]):
                         docs.append(doc)
                         places.append(i)
                         keys.append([_key(ws, i, c) for c in contexts if 0 <= i + c < len(ws)])
-            yield pd.DataFrame({"term": terms, "doc_id": np.array(docs, np.int64), "pos": np.array(places, np.int32), "keys": keys})
+            yield pd.DataFrame({"term": pd.Series(terms, dtype=object), "doc_id": np.array(docs, np.int64), "pos": np.array(places, np.int32), "keys": pd.Series(keys, dtype=object)})
 
     return run
 
