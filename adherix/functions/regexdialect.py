@@ -24,21 +24,35 @@ def duck(pattern: str, flags: str = "") -> str:
     return f"(?{flags}){pattern}" if flags else pattern
 
 
-def needle(pattern: str, least: int = 3) -> str | None:
-    """A literal that every match of the pattern holds, if one is plain to see."""
-    if "|" in pattern or "(?" in pattern:
-        return None
-    best, pieces = "", _PIECE.findall(pattern)
-    depth = 0
+def _literals(branch: str, least: int) -> list[str]:
+    pieces, depth, out = _PIECE.findall(branch), 0, []
     for i, p in enumerate(pieces):
         depth += (p == "(") - (p == ")")
-        if depth or not re.fullmatch(r"[\w\- ]+", p):
+        if depth or not re.fullmatch(r"[\w\- @/<=]+", p):
             continue
-        after = pieces[i + 1] if i + 1 < len(pieces) else ""
-        lit = p[:-1] if after and after[0] in "?*{" else p
-        if len(lit) > len(best):
-            best = lit
-    return best if len(best) >= least else None
+        after = pieces[i + 1][:1] if i + 1 < len(pieces) else ""
+        lit = p[:-1] if after and after in "?*{" else p
+        if len(lit) >= least:
+            out.append(lit)
+    return out
+
+
+def needles(pattern: str, least: int = 3) -> list[list[str]] | None:
+    """Literals of which every match holds all of one list; None if some branch of the pattern has none to see.
+
+    Branches are those of alternatives outside of groups.
+    """
+    if "(?" in pattern:
+        return None
+    branches, depth = [""], 0
+    for p in _PIECE.findall(pattern):
+        depth += (p == "(") - (p == ")")
+        if p == "|" and not depth:
+            branches.append("")
+        else:
+            branches[-1] += p
+    found = [_literals(b, least) for b in branches]
+    return found if all(found) else None
 
 
 def sql_string(text: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adherix.functions import domain_patterns as dp
 from adherix.functions.regexdialect import from_start, java
+from adherix.operators.scan import worth_matching
 
 # Domains in order (ties go to the first), and weights of the three signals.
 DOMAINS = ("frontend", "backend", "database", "infrastructure", "testing", "configuration", "documentation")
@@ -24,11 +25,16 @@ def _hits(files: DataFrame) -> DataFrame:
     compiles the expressions in pieces.
     """
     cols = [F.when(F.rlike("path", F.lit(from_start("|".join(f"(?:{p})" for p in dp.PATHS[d]), "i"))), F.lit(PATH_WEIGHT[d])).otherwise(0.0).alias(f"r_{d}") for d in DOMAINS]
+
+    def guarded(p: str, value: Column, none: Column) -> Column:
+        may = worth_matching(p, F.col("low"), True)
+        return value if may is None else F.when(may, value).otherwise(none)
+
     for d, ps in dp.IMPORTS.items():
-        cols += [F.rlike("content", F.lit(java(p, "im"))).cast("int").alias(f"i_{d}_{n}") for n, p in enumerate(ps)]
+        cols += [guarded(p, F.rlike("content", F.lit(java(p, "im"))), F.lit(False)).cast("int").alias(f"i_{d}_{n}") for n, p in enumerate(ps)]
     for d, ps in dp.CONTENT.items():
-        cols += [F.least(F.lit(5), F.regexp_count("content", F.lit(java(p, "im")))).alias(f"c_{d}_{n}") for n, p in enumerate(ps)]
-    return files.select("file_id", "path", *cols)
+        cols += [guarded(p, F.least(F.lit(5), F.regexp_count("content", F.lit(java(p, "im")))), F.lit(0)).alias(f"c_{d}_{n}") for n, p in enumerate(ps)]
+    return files.withColumn("low", F.lower("content")).select("file_id", "path", *cols)
 
 
 def signals(files: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def within_budget(chunks: DataFrame, code: str, imports: str, most: int = 2048)
 
 def data_share(code: Column) -> Column:
     """Share of the bytes of a text that stand in string literals."""
-    strings = F.regexp_extract_all(code, F.lit(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"), F.lit(0))
+    # possessive, so that Java matches long literals in a loop and not by recursion
+    strings = F.regexp_extract_all(code, F.lit(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"), F.lit(0))
     size = F.aggregate(strings, F.lit(0), lambda a, x: a + F.octet_length(x))
     return F.coalesce(F.try_divide(size, F.octet_length(code)), F.lit(0.0))
 
@@ -79,6 +80,6 @@ def placeholder(literal: Column) -> Column:
 def compress(code: Column, share: float = 0.7, least_bytes: int = 1000, longest: int = 100) -> Column:
     """Data-heavy text with the strings of more than ``longest`` characters shortened; other text as it is."""
     heavy = (data_share(code) > share) & (F.octet_length(code) >= least_bytes)
-    short = F.regexp_replace(code, rf'"(?:[^"\\\n]|\\.){{{longest - 1},}}"', '"..."')
-    short = F.regexp_replace(short, rf"'(?:[^'\\\n]|\\.){{{longest - 1},}}'", "'...'")
+    short = F.regexp_replace(code, rf'"(?:[^"\\\n]|\\.){{{longest - 1},}}+"', '"..."')
+    short = F.regexp_replace(short, rf"'(?:[^'\\\n]|\\.){{{longest - 1},}}+'", "'...'")
     return F.when(heavy, short).otherwise(code)

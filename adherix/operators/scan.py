@@ -9,12 +9,14 @@ path rule.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adherix.functions import rules
-from adherix.functions.regexdialect import java, needle, sql_string
+from adherix.functions.regexdialect import java, needles, sql_string
 
 ANALYZERS = tuple(rules.SCOPES)
 _IMPORTS = [  # fixed values: the four forms of an import line, the first that matches counts
@@ -30,14 +32,23 @@ def as_files(df: DataFrame, file_id: str, path: str, content: str) -> DataFrame:
     return df.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"([^/\\]*)$", 1).alias("name"), F.coalesce(F.col(content), F.lit("")).alias("content"))
 
 
+def worth_matching(pattern: str, text: Column, lower: bool = False) -> Column | None:
+    """Whether a text holds the literals of a pattern; None if the pattern shows none."""
+    lists = needles(pattern)
+    if lists is None:
+        return None
+    every = [reduce(and_, [F.contains(text, F.lit(x.lower() if lower else x)) for x in dict.fromkeys(xs)]) for xs in lists]
+    return reduce(or_, every)
+
+
 def count_column(name: str) -> Column:
     """How often the patterns of a count match; a literal that each match holds is looked for first."""
     spec = rules.COUNTS[name]
     total = None
     for p in spec.patterns:
         n = F.regexp_count("content", F.lit(java(p, spec.flags)))
-        lit = needle(p)
-        n = F.when(F.contains("content", F.lit(lit)), n).otherwise(0) if lit else n
+        may = worth_matching(p, F.col("content"))
+        n = n if may is None else F.when(may, n).otherwise(0)
         total = n if total is None else total + n
     return total.cast("long").alias(f"c_{name}")
 

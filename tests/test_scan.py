@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adherix.functions import rules
-from adherix.functions.regexdialect import needle
+from adherix.functions.regexdialect import needles
 from adherix.operators import scan
 
 TEXTS = [
@@ -42,9 +42,9 @@ def test_counts_follow_python(files):
 def test_needles_are_in_every_match():
     for spec in rules.COUNTS.values():
         for p in spec.patterns:
-            lit = needle(p)
+            lists = needles(p)
             for _, text in TEXTS:
-                assert lit is None or all(lit in m[0] for m in re.finditer(p, text))
+                assert lists is None or all(any(all(x in m[0] for x in xs) for xs in lists) for m in re.finditer(p, text))
 
 
 def test_scope_leaves_out_excluded_folders(files):
