@@ -103,6 +103,5 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("texts_used"), F.max("repeats").alias("most_repeats"))
     asked = spark.createDataFrame([(r["source"], float(r["target_weight"]), int(r["max_repeats"]), int(r["available"]), int(r["texts"])) for r in plan], "source string, target_weight double, max_repeats int, available_tokens long, texts long")
     shares = asked.join(reached, "source", "left").fillna(0, ["tokens", "texts_used", "most_repeats"])
-    whole = shares.agg(F.sum("tokens").alias("_all"))
-    share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("_all")), F.lit(0.0))
-    return chosen, shares.crossJoin(F.broadcast(whole)).withColumn("actual_share", share).drop("_all")  # one row
+    whole = shares.agg(F.sum("tokens")).scalar()
+    return chosen, shares.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), whole), F.lit(0.0)))
