@@ -44,9 +44,8 @@ def cross_domain_negatives(rows: DataFrame, seed: int = 11) -> DataFrame:
     # a place is a prefix of the hash: rows meet by place, the smallest key of the other domain stands for it
     placed = numbered.withColumn("place", F.substring("k", 1, 3))
     domains = rows.select("domain").distinct().withColumn("d", F.dense_rank().over(Window.orderBy("domain")) - 1)  # a row per domain
-    n = domains.agg(F.count("*").alias("nd"))
-    ring = domains.crossJoin(F.broadcast(n)).withColumn("next", F.pmod(F.col("d") + 1, F.col("nd")))
-    following = ring.select("domain", F.col("next").alias("d")).join(domains.select(F.col("domain").alias("other_domain"), "d"), "d").select("domain", "other_domain").where("domain <> other_domain")
+    n = domains.agg(F.count("*")).scalar()
+    following = domains.select("domain", F.pmod(F.col("d") + 1, n).cast("int").alias("d")).join(domains.select(F.col("domain").alias("other_domain"), "d"), "d").select("domain", "other_domain").where("domain <> other_domain")
     first = placed.groupBy("domain", "place").agg(F.min(F.struct("k", "id")).alias("f")).select(F.col("domain").alias("other_domain"), "place", F.col("f.id").alias("other_id"))
     return placed.join(F.broadcast(following), "domain").join(first, ["other_domain", "place"]).select(F.col("id").alias("anchor_id"), "other_id", "domain", "other_domain")
 
