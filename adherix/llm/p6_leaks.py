@@ -25,7 +25,7 @@ from adherix.session import broadcast_below, cut
 
 WINDOW = 18
 #: Beyond so many distinct terms the corpus side is not filtered on the map side but by a join.
-VOCABULARY = 2_000_000
+VOCABULARY = 300_000
 _WORD = re.compile(r"\w+")
 
 
