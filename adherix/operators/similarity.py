@@ -22,9 +22,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """L2-normalised; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    """L2-normalised; a zero vector stays as it is.  The norm is bound once, not once an element."""
+    bound = F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+    return bound[0]
 
 
 def usable(v: Column, dim: int) -> Column:
