@@ -45,3 +45,13 @@ def broadcast_below(df: DataFrame, rows: int, row_bytes: int, limit: int = BROAD
     returned unmarked, and the join that uses it becomes a shuffle join.
     """
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than there are cores, spread over them; any other frame as it is.
+
+    A file of one row group is one task however long its rows take.  So few scan
+    partitions bound the rows moved; larger inputs are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
