@@ -20,11 +20,10 @@ def samples(files: DataFrame, least: int = 50) -> DataFrame:
     return files.where((F.length("content") >= least) & (F.trim("content") != ""))
 
 
-def positive_pairs(rows: DataFrame, per_anchor: int = 3, seed: int = 7) -> DataFrame:
-    """anchor_id, other_id, domain: for each row the ``per_anchor`` next rows of its domain in a seeded circular order.
+def _ranked(rows: DataFrame, seed: int) -> DataFrame:
+    """id, domain, pos, n: the place of each row in the seeded order of its domain, from 0, and the rows of the domain.
 
-    The order is laid by ranges of the hash, so a domain of any size is ranked
-    without a self-join: each row meets only its successors.
+    The order is laid by ranges of the hash, so no task needs to see a whole domain.
     """
     keyed = rows.select("id", "domain").withColumn("k", order_key(F.lit(seed), "id"))
     w = Window.partitionBy("domain", "bucket").orderBy("k", "id")
@@ -32,22 +31,32 @@ def positive_pairs(rows: DataFrame, per_anchor: int = 3, seed: int = 7) -> DataF
     local = bucketed.withColumn("r", F.row_number().over(w))
     sizes = bucketed.groupBy("domain", "bucket").count()  # at most 256 rows a domain
     before = sizes.select("domain", "bucket", F.coalesce(F.sum("count").over(Window.partitionBy("domain").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy("domain")).alias("n"))
-    ranked = local.join(before, ["domain", "bucket"]).select("id", "domain", (F.col("r") + F.col("before") - 1).alias("pos"), "n")
+    return local.join(before, ["domain", "bucket"]).select("id", "domain", (F.col("r") + F.col("before") - 1).alias("pos"), "n")
+
+
+def positive_pairs(rows: DataFrame, per_anchor: int = 3, seed: int = 7) -> DataFrame:
+    """anchor_id, other_id, domain: for each row the ``per_anchor`` next rows of its domain in a seeded circular order.
+
+    A domain of any size is paired without a self-join: each row meets only its successors.
+    """
+    ranked = _ranked(rows, seed)
     step = F.explode(F.sequence(F.lit(1), F.least(F.lit(per_anchor), F.col("n") - 1).cast("int")))
     anchors = ranked.where("n > 1").select(F.col("id").alias("anchor_id"), "domain", F.col("pos").alias("at"), "n", step.alias("step")).withColumn("pos", F.pmod(F.col("at") + F.col("step"), F.col("n")))
     return anchors.join(ranked.select(F.col("id").alias("other_id"), "domain", "pos"), ["domain", "pos"]).select("anchor_id", "other_id", "domain", F.col("step").cast("long").alias("step"))
 
 
 def cross_domain_negatives(rows: DataFrame, seed: int = 11) -> DataFrame:
-    """anchor_id, other_id, domains: each row with a row of the next domain at the same place of its seeded order."""
-    numbered = rows.select("id", "domain").withColumn("k", order_key(F.lit(seed), "id"))
-    # a place is a prefix of the hash: rows meet by place, the smallest key of the other domain stands for it
-    placed = numbered.withColumn("place", F.substring("k", 1, 3))
-    domains = rows.select("domain").distinct().withColumn("d", F.dense_rank().over(Window.orderBy("domain")) - 1)  # a row per domain
-    n = domains.agg(F.count("*")).scalar()
-    following = domains.select("domain", F.pmod(F.col("d") + 1, n).cast("int").alias("d")).join(domains.select(F.col("domain").alias("other_domain"), "d"), "d").select("domain", "other_domain").where("domain <> other_domain")
-    first = placed.groupBy("domain", "place").agg(F.min(F.struct("k", "id")).alias("f")).select(F.col("domain").alias("other_domain"), "place", F.col("f.id").alias("other_id"))
-    return placed.join(F.broadcast(following), "domain").join(first, ["other_domain", "place"]).select(F.col("id").alias("anchor_id"), "other_id", "domain", "other_domain")
+    """anchor_id, other_id, domains: each row with a row of the next domain at the same place of its seeded order.
+
+    Where the next domain is smaller its order is gone through again, so every row
+    gets a partner; only a sole domain gives none.
+    """
+    ranked = _ranked(rows, seed)
+    sizes = rows.groupBy("domain").agg(F.count("*").alias("m")).withColumn("d", F.dense_rank().over(Window.orderBy("domain")) - 1)  # a row per domain
+    n = sizes.agg(F.count("*")).scalar()
+    following = sizes.select("domain", F.pmod(F.col("d") + 1, n).cast("int").alias("d")).join(sizes.select(F.col("domain").alias("other_domain"), "m", "d"), "d").select("domain", "other_domain", "m").where("domain <> other_domain")
+    anchors = ranked.join(F.broadcast(following), "domain").select(F.col("id").alias("anchor_id"), "domain", "other_domain", F.pmod("pos", "m").alias("pos"))
+    return anchors.join(ranked.select(F.col("id").alias("other_id"), F.col("domain").alias("other_domain"), "pos"), ["other_domain", "pos"]).select("anchor_id", "other_id", "domain", "other_domain")
 
 
 def corrupt(code: Column) -> Column:

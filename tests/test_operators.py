@@ -93,6 +93,19 @@ def test_positive_pairs_are_of_one_domain(spark):
     assert {k: len(v) for k, v in per.items()} == {**{i: 3 for i in range(9)}, 10: 1, 11: 1}
 
 
+def test_every_row_has_a_negative_of_the_next_domain(spark):
+    domain = {i: "a" if i < 40 else "b" if i < 43 else "c" for i in range(44)}
+    df = spark.createDataFrame(list(domain.items()), "id long, domain string")
+    got = training.cross_domain_negatives(df).collect()
+    assert sorted(r["anchor_id"] for r in got) == list(range(44))
+    for r in got:
+        assert (domain[r["anchor_id"]], domain[r["other_id"]]) == (r["domain"], r["other_domain"])
+        assert r["other_domain"] == {"a": "b", "b": "c", "c": "a"}[r["domain"]]
+    uses = [sum(r["other_id"] == i for r in got) for i in (40, 41, 42)]
+    assert sorted(uses) == [13, 13, 14]
+    assert training.cross_domain_negatives(df.where("domain = 'a'")).count() == 0
+
+
 def test_infonce(spark):
     df = spark.createDataFrame([(0.9, 0.1), (0.5, 0.5)], "positive double, negative double")
     want = sum(-math.log(math.exp(p / 0.07) / (math.exp(p / 0.07) + math.exp(n / 0.07))) for p, n in ((0.9, 0.1), (0.5, 0.5))) / 2
