@@ -3,8 +3,10 @@
 Inverted file with product-quantised residuals.  Coarse centroids and codebooks
 are trained per domain on a bounded sample; every vector is indexed.  Vectors and
 queries meet by (domain, cell, block): within a block the asymmetric distance
-tables pick a shortlist, whose exact cosines are taken from the vectors, and the
-per-cell lists of a query are merged.  Exact copies are one class, so a group of
+tables pick a shortlist, whose exact cosines are taken from the vectors; so are
+those of every other row that its quantisation error lets reach the k-th of them,
+so a block's list is exact however alike its rows are.  The per-cell lists of a
+query are merged.  Exact copies are one class, so a group of
 copies of any size is searched once; cells larger than a block are cut into
 blocks on both sides, so no task grows with a hot cell.
 """
@@ -30,7 +32,10 @@ CELL = 600
 MAX_CELLS = 4096
 BLOCK = 8192
 SUBSPACES, CODES = 16, 64
+#: Rows of a block whose cosines give the first bound; rows that may still reach it follow.
 SHORTLIST = 48
+#: What rounding may add to a bound.
+ROUNDING = 1e-5
 
 
 def n_cells(rows: int) -> int:
@@ -167,17 +172,35 @@ def _search(models: dict, k: int):
             take = min(SHORTLIST, len(ids))
             sub = x.shape[1] // SUBSPACES
             step = max(1, 2_000_000 // len(ids))
+            held = coarse[cell] + np.concatenate([books[i][codes[:, i]] for i in range(SUBSPACES)], axis=1)
+            error = np.linalg.norm(x - held, axis=1) + np.float32(ROUNDING)
             for a in range(0, len(q_all), step):
                 q = q_all[a : a + step]
+                own = q_ids[a : a + step, None]
                 guess = np.repeat((q @ coarse[cell])[:, None], len(ids), 1)
                 for i in range(SUBSPACES):
                     guess += (q[:, i * sub : (i + 1) * sub] @ books[i].T)[:, codes[:, i]]
                 short = np.argpartition(-guess, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
                 exact = np.einsum("qd,qsd->qs", q, x[short])
-                exact[ids[short] == q_ids[a : a + step, None]] = -2
+                exact[ids[short] == own] = -2
                 keep = min(k, take)
                 order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
                 best, sims = np.take_along_axis(ids[short], order, 1), np.take_along_axis(exact, order, 1)
+                if take < len(ids):
+                    # q is of unit length, so no cosine exceeds its guess by more than the error of the row
+                    guess += error
+                    np.put_along_axis(guess, short, -3, 1)
+                    may = guess >= sims[:, -1:]
+                    again, rows = np.nonzero(may.any(axis=1))[0], np.nonzero(may.any(axis=0))[0]
+                    if len(again):
+                        rest = np.where(may[np.ix_(again, rows)], q[again] @ x[rows].T, np.float32(-2))
+                        rest[ids[rows] == own[again]] = -2
+                        more = min(k, len(rows))
+                        top = np.argpartition(-rest, more - 1, axis=1)[:, :more]
+                        both_ids = np.concatenate([best[again], ids[rows][top]], axis=1)
+                        both = np.concatenate([sims[again], np.take_along_axis(rest, top, 1)], axis=1)
+                        order = np.argsort(-both, axis=1, kind="stable")[:, :keep]
+                        best[again], sims[again] = np.take_along_axis(both_ids, order, 1), np.take_along_axis(both, order, 1)
                 for i in range(len(q)):
                     ok = sims[i] > -2
                     if ok.any():

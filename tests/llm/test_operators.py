@@ -208,6 +208,23 @@ def test_p5_recall_and_mutual_pairs(spark, monkeypatch):
     assert len(found & pairs) >= 0.97 * len(pairs) and len(found - pairs) <= 0.03 * len(pairs)
 
 
+def test_p5_recall_in_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3600, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:1200] = v[0] + 0.1 * v[:1200]  # cosines of 0.99 among a third of the rows
+    v = v.astype(np.float32)
+    rows = [(i, "c", "a", i, "f", "g", None, None, v[i].tolist()) for i in range(len(v))]
+    got = {}
+    for r in p5_neighbours.most_similar(frame(spark, INDEX, rows)).collect():
+        got.setdefault(r["ref_id"], set()).add(r["near_id"])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, -2)
+    hits = [len(got[i] & set(near.tolist())) for i, near in enumerate(np.argsort(-cosine, axis=1)[:, :10])]
+    assert sum(hits[:1200]) >= 0.95 * 12000 and sum(hits[1200:]) >= 0.9 * 24000
+
+
 def test_p5_copies_and_small_domains(spark):
     v = vectors(40)
     rows = [(i, "c", "hot", i, "f", "g", None, None, v[0].tolist()) for i in range(300)] + [(1000 + i, "c", "hot", i, "f", "g", None, None, v[i].tolist()) for i in range(1, 20)] + [(5000, "c", "one", 1, "f", "g", None, None, v[3].tolist())]
