@@ -50,14 +50,21 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return near(s, d).groupBy(F.col("ref_file").alias("file_id"), "domain").agg(F.max("similarity").alias("score"))
 
 
-def three(s: SparkSession, d: str) -> DataFrame:
-    f = cut(files(s, d))
-    return scan.scores(f, "architectural").unionByName(scan.scores(f, "typescript")).unionByName(scan.scores(f, "framework"))
+def every_recommendation(f: DataFrame) -> DataFrame:
+    out = scan.recommendations(f, scan.ANALYZERS[0])
+    for a in scan.ANALYZERS[1:]:
+        out = out.unionByName(scan.recommendations(f, a))
+    return out
 
 
-def three_recommendations(s: SparkSession, d: str) -> DataFrame:
-    f = cut(files(s, d))
-    return scan.recommendations(f, "architectural").unionByName(scan.recommendations(f, "typescript")).unionByName(scan.recommendations(f, "framework"))
+def rounded_scores(f: DataFrame) -> DataFrame:
+    """The scores of the four engines, to six places."""
+    return scan.all_scores(f).select("file_id", "analyzer", F.round("score", 6).alias("score"))
+
+
+def by_domain(f: DataFrame) -> DataFrame:
+    """The scores of the four engines with the domain of their file."""
+    return rounded_scores(f).join(classify.classify(f).select("file_id", "domain"), "file_id")
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
@@ -83,9 +90,7 @@ def _divergence(s: SparkSession, d: str) -> DataFrame:
 
 
 def _code_focused(s: SparkSession, d: str) -> DataFrame:
-    f = cut(files(s, d))
-    sc = scan.scores(f, "architectural").unionByName(scan.scores(f, "typescript")).unionByName(scan.scores(f, "framework")).select("file_id", "analyzer", F.round("score", 6).alias("score"))
-    return r6(aggregate.code_focused(sc.join(classify.classify(f).select("file_id", "domain"), "file_id"), classify.DOMAIN_IMPORTANCE, ["analyzer"]), "code_focused_score")
+    return r6(aggregate.code_focused(by_domain(cut(files(s, d))), classify.DOMAIN_IMPORTANCE, ["analyzer"]), "code_focused_score")
 
 
 def _patterns_by_type(s: SparkSession, d: str) -> DataFrame:
@@ -98,8 +103,7 @@ def _patterns_by_type(s: SparkSession, d: str) -> DataFrame:
 
 def _compare(s: SparkSession, d: str) -> DataFrame:
     f = cut(files(s, d, ("repo",)))
-    sc = scan.scores(f, "architectural").unionByName(scan.scores(f, "typescript")).unionByName(scan.scores(f, "framework"))
-    means = cut(sc.select("file_id", "analyzer", F.round("score", 6).alias("score")).join(f.select("file_id", "repo"), "file_id").groupBy("repo", "analyzer").agg(F.avg("score").alias("score")))
+    means = cut(rounded_scores(f).join(f.select("file_id", "repo"), "file_id").groupBy("repo", "analyzer").agg(F.avg("score").alias("score")))
     base = means.agg(F.min("repo")).first()[0]
     return r6(report.compare(means, base, "repo", "analyzer").select("repo", "analyzer", "difference", "per_cent"), "difference", "per_cent")
 
@@ -165,11 +169,11 @@ def queries() -> dict[str, Query]:
         "top_files": lambda s, d: r6(report.top_files(scored(s, d)), "score"),
         "batch_summary": lambda s, d: r6(report.batch_summary(scored(s, d), "file_id"), "mean", "low", "high"),
         "quality_gate": lambda s, d: report.gate(scored(s, d), 0.7).groupBy("domain").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed")),
-        "dimension_means": lambda s, d: r6(aggregate.dimension_mean(three(s, d).withColumns({"domain": F.lit("unknown"), "score": F.round("score", 6)})), "score"),
+        "dimension_means": lambda s, d: r6(aggregate.dimension_mean(by_domain(cut(files(s, d)))), "score"),
         "code_focused": _code_focused,
         "patterns_by_type": _patterns_by_type,
-        "file_level_pivot": lambda s, d: three(s, d).groupBy("file_id").pivot("analyzer", ["architectural", "typescript", "framework"]).agg(F.round(F.max("score"), 6)),
-        "feedback": lambda s, d: report.feedback(three_recommendations(s, d)).select("file_id", "analyzer", "rule_id", "severity", "category", "place"),
+        "file_level_pivot": lambda s, d: rounded_scores(cut(files(s, d))).groupBy("file_id").pivot("analyzer", list(scan.ANALYZERS)).agg(F.max("score")),
+        "feedback": lambda s, d: report.feedback(every_recommendation(cut(files(s, d)))).select("file_id", "analyzer", "rule_id", "severity", "category", "place"),
         "compare_repos": _compare,
         "commit_metadata": lambda s, d: history.commits(table(s, d, "commits")).select("commit_id", "repo", "author", "message", F.size("parent_ids").cast("long").alias("parents"), F.col("insertions").cast("long").alias("insertions"), F.col("deletions").cast("long").alias("deletions")),
         "parent_commits": lambda s, d: history.resolve_parent(table(s, d, "commits")),

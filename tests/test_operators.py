@@ -132,3 +132,44 @@ def test_compression(spark):
 def test_sessions(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:29:59"), (1, "2024-01-01 01:00:00")], "user_id long, t string").select("user_id", F.to_timestamp("t").alias("ts"))
     assert sorted(r["n"] for r in windows.sessions(df).collect()) == [1, 2]
+
+
+def test_roll_ups_hold_all_four_engines(spark, tmp_path):
+    from adherix.plans import registry
+
+    rows = [
+        (1, "r1", "src/app/api/users/route.ts", "export async function GET() {\n  const x = await fetch('/u');\n  return x;\n}\n"),
+        (2, "r2", "src/components/Button.tsx", "export function Button() {\n  return <img src='a' onClick={() => console.log(1)} />;\n}\n"),
+        (3, "r1", "src/utils.js", "foo().then(bar);\n"),
+    ]
+    spark.createDataFrame(rows, "chunk_id long, repo string, file_path string, function_code string").withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/function_chunks.parquet")
+    q, d = registry.queries(), str(tmp_path)
+    f = registry.files(spark, d)
+    domain = {r["file_id"]: r["domain"] for r in classify.classify(f).collect()}
+    assert [domain[i] == "unknown" for i in (1, 2, 3)] == [False, False, True]
+    score = {(r["file_id"], a): round(r["score"], 6) for a in scan.ANALYZERS for r in scan.scores(f, a).collect()}
+    assert {a for _, a in score} == {"architectural", "quality", "typescript", "framework"}
+
+    pivot = {r["file_id"]: r for r in q["file_level_pivot"](spark, d).collect()}
+    assert all(pivot[i][a] == score.get((i, a)) for i in (1, 2, 3) for a in scan.ANALYZERS)
+
+    means = {r["analyzer"]: r["score"] for r in q["dimension_means"](spark, d).collect()}
+    focused = {r["analyzer"]: r["code_focused_score"] for r in q["code_focused"](spark, d).collect()}
+    compared = {r["analyzer"]: r["difference"] for r in q["compare_repos"](spark, d).collect()}
+    for a in scan.ANALYZERS:
+        known = [(score[i, a], classify.DOMAIN_IMPORTANCE[domain[i]]) for i in (1, 2) if (i, a) in score]
+        assert means[a] == pytest.approx(sum(x for x, _ in known) / len(known), abs=2e-6)
+        assert focused[a] == pytest.approx(sum(x * w for x, w in known) / sum(w for _, w in known), abs=2e-6)
+        base = [score[i, a] for i in (1, 3) if (i, a) in score]
+        assert compared[a] == pytest.approx(score[2, a] - sum(base) / len(base), abs=2e-6)
+
+    rank = {"critical": 0, "error": 1, "warning": 2, "info": 3}
+    want = {}
+    for a in scan.ANALYZERS:
+        for r in scan.recommendations(f, a).collect():
+            want.setdefault(r["file_id"], []).append((rank[r["severity"]], r["category"], a, r["rule_id"]))
+    got = {}
+    for r in q["feedback"](spark, d).orderBy("place").collect():
+        got.setdefault(r["file_id"], []).append((rank[r["severity"]], r["category"], r["analyzer"], r["rule_id"]))
+    assert got == {k: sorted(v)[:3] for k, v in want.items()}
+    assert (1, "error_handling", "quality", "MISSING_ASYNC_ERROR_HANDLING") in got[1]
