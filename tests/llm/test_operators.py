@@ -158,6 +158,28 @@ def test_p3_kinds(spark):
     assert p3_provenance.hand_written(df, libs).count() == len(rows) - 7
 
 
+def test_p3_serial_code_and_claims_of_others(spark):
+    rng = random.Random(12)
+    serial = "\n".join(f"export function getSlot{i:04d}(b) {{\n  return b.slot({i});\n}}" for i in range(40))
+    hand = "\n".join(f"export function {rng.choice('pqrst')}{rng.randrange(99)}(a) {{\n  const b = a.{rng.choice('uvwxyz')}{rng.choice('uvwxyz')}('{rng.choice('klmn')}');\n  return b {rng.choice('+-*/')} {rng.choice('ghij')};\n}}\n" for i in range(12))
+    long_head = "/*\n" + " * changes of the release\n" * 400 + " */\n// @generated by bindtool from a.yaml\n"
+    rows = [
+        chunk(1, "a.js", serial), chunk(2, "b.js", long_head + hand), chunk(3, "c.js", "/*! quillo v2.7.5 */\n" + hand), chunk(4, "d.js", "// Copyright (C) the glimt authors.\n// Licensed under Apache-2.0\n" + hand),
+        chunk(5, "e.js", "/*\n * Copyright (c) 2023 the brisk-desk team\n * Released under the MIT license\n */\n" + hand, repo="brisk-desk"), chunk(6, "f.js", "/*\n * vendored glimt code was removed in favour of our own\n */\n" + hand),
+        chunk(7, "g.js", "x" * 30), *[chunk(100 + i, "h.js", f"export function getSlot{i:04d}(b) {{\n  return b.slot({i});\n}}", line=4 * i + 1) for i in range(60)], *[chunk(300, "i.js", hand)] * 5,
+    ]
+    got = {r["file_path"]: (r["kind"], r["evidence"]) for r in p3_provenance.provenance(frame(spark, CHUNKS, rows), frame(spark, LIBS, [])).collect()}
+    assert got == {"a.js": ("generated", "uniformity"), "b.js": ("generated", "header"), "c.js": ("vendored", "header"), "d.js": ("vendored", "header"), "e.js": (None, None), "f.js": (None, None), "g.js": (None, None), "h.js": ("generated", "uniformity"), "i.js": (None, None)}
+
+
+def test_p3_canonical_layout():
+    x = p3_provenance.layout("/* a */\nfor (let i = 0; i < n; i++) { f(i); g1(i); g2(i); }\n", False)
+    assert (x["lines"], x["canonical"], x["statements"], x["distinct"], x["said"]) == (1, 5, 4, 3, "/* a */")
+    x = p3_provenance.layout("#\n# b\ndef f(x):\n    return {1: 2,\n  3: 4}; g(x)\n", True)
+    assert (x["lines"], x["canonical"], x["said"]) == (3, 3, "#\n# b")
+    assert p3_provenance.layout("", True)["canonical"] == 0
+
+
 # problem 4
 def test_p4_files_and_rates(spark):
     rows = [chunk(1, "a.TS", "const x = 1;"), chunk(2, "a.TS", "const x = ;"), chunk(2, "a.TS", "const x = ;"), chunk(3, "b.py", "def f(:"), chunk(4, "c.md", "(("), chunk(5, "d.go", None), chunk(6, "e.js", ""), chunk(7, "f.java", "int m() { return 1; }", method=True), chunk(8, None, "(("), chunk(9, "g.js", "f(", repo=None)]
