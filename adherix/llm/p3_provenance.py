@@ -273,7 +273,7 @@ def provenance(files: DataFrame, libraries: DataFrame) -> DataFrame:
     per_file = shape.groupBy(*file).agg(F.max("expansion").alias("expansion"), F.max("density").alias("density"), *[F.sum(c).alias(c) for c in ("code", "literal", "statements", "words", "distinct")], *[F.max(c).alias(c) for c in ("header", "others", "format")])
 
     # summed within each row first, which combines in the task that reads it; rows of the same text then count once
-    hits = parts.where(F.size("digests") > 0).select(*file, "chunk", F.monotonically_increasing_id().alias("row"), F.explode(F.arrays_zip("digests", "lengths")).alias("x")).select(*file, "chunk", "row", F.col("x.digests").alias("digest"), F.col("x.lengths").alias("length"))
+    hits = parts.where(F.size("digests") > 0).withColumn("row", F.monotonically_increasing_id()).select(*file, "chunk", "row", F.explode(F.arrays_zip("digests", "lengths")).alias("x")).select(*file, "chunk", "row", F.col("x.digests").alias("digest"), F.col("x.lengths").alias("length"))
     met = hits.join(broadcast_below(lib, n_lib, 16), "digest").groupBy(*file, "chunk", "row", "lib_file_id").agg(F.sum("length").alias("length"))
     once = met.groupBy(*file, "chunk", "lib_file_id").agg(F.max("length").alias("length"))
     shared = once.groupBy(F.col("repo").alias("h_repo"), F.col("file_path").alias("h_path"), "lib_file_id").agg(F.sum("length").alias("shared"))
