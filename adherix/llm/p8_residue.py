@@ -1,13 +1,18 @@
 """Problem 8: template residue, filler, error pages and script notices.
 
-Two aligned views of the corpus.  Slots: every placeholder mark in prose is keyed
-by the words around it, which aligns the records made from one template; a slot
-whose records retain names, defaults or blanks in several notations is unfilled,
-while a mark that texts merely discuss stands in code, in quotes or beside words
-about placeholders and keeps one notation.  Pages: the sentences of short texts
-are aligned across the corpus; sentences that recur over many such pages beside
-error, notice or filler wording are page templates, and a text that consists of
-nothing else is a page without content.
+Slots are induced from the corpus.  Anything between marks in prose (``{{name}}``,
+``<% owner %>``, ``[your team]``, a blank ...) is keyed by the words around it, which
+aligns the records made from one template.  Where the aligned records hold several
+notations at the same place, that place is a slot nobody filled.  A notation whose
+marks mostly stand in such slots is a notation of placeholders, and counts elsewhere
+too; a mark that texts merely discuss stands in code, in quotes or beside words about
+placeholders and keeps one notation.
+
+Pages are induced likewise.  The sentences of all texts are aligned with numbers and
+identifiers left out; sentences that recur over texts which otherwise differ are
+furniture, and a whole page that recurs with nothing but its numbers changed is a page
+template.  A text of any length is a page without content if hardly a word of it is
+left once furniture, known page wording and filler are taken away.
 """
 
 from __future__ import annotations
@@ -15,41 +20,38 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adherix.session import broadcast_below, cut
 
-#: Texts of more words are not pages; only their slots are looked at.
-PAGE_WORDS = 300
-#: A sentence recurs as page furniture if this many different pages hold it.
+#: A sentence is furniture, and a page a template, if so many different texts hold it.
 RECURS = 4
+#: Share of the marks of a notation that stand in induced slots, from which it is one of placeholders.
+INDUCED = 0.5
 
-# Notations of placeholders.
+# Marks: an opening and a closing run of signs around a name, or a blank.
 _MARKS = re.compile(
-    r"""(?P<moustache>\{\{\{?\s*[\w.\- ]{1,40}\s*\}?\}\})
-    |(?P<erb><%[=-]?\s*[\w.\- ]{1,40}\s*-?%>)
-    |(?P<dollar>\$\{\s*[\w.\-]{1,40}\s*\})
-    |(?P<hash>\#\{\s*[\w.\-]{1,40}\s*\})
-    |(?P<link>\[\[\s*[\w.\- ]{1,40}\s*\]\])
-    |(?P<guillemet><<\s*[\w.\- ]{1,40}\s*>>)
-    |(?P<yours><\s*(?:your|insert|enter|add)[ _\-][\w.\- ]{1,40}>)
-    |(?P<yourb>\[\s*(?:your|insert|enter|add)\ [\w.\- ]{1,40}\])
-    |(?P<here>[\[<(]\s*[\w.\- ]{1,40}\ (?:goes\ )?here\s*[\])>])
-    |(?P<percent>%%\s*[\w.\-]{1,40}\s*%%)
-    |(?P<percent1>(?<![\w%])%[A-Za-z_]{2,40}%(?!\w))
-    |(?P<printf>%\([a-z_]{1,40}\)s)
-    |(?P<at>@@\s*[\w.\-]{1,40}\s*@@)
-    |(?P<under>(?<!\w)__[A-Z][A-Z0-9_]{0,40}__(?!\w))
-    |(?P<blank>(?<![\w_])_{5,}(?![\w_]))
-    |(?P<brace>(?<![\w$\#{])\{[A-Za-z_][\w.\-]{0,40}\}(?!\}))""",
-    re.X | re.I,
+    r"""(?<![\w{}\[\]<>%@\#$~^|&=])
+    (?:(?P<open>\$\(|%\(|[{\[<%@\#$~^|&]{1,3}[=\-!*]?|__)(?P<name>\s?[^\W_](?:[\w.\-]|\ (?!\ ))*?\s?)(?P<close>[\-*!=]?[}\]>%@\#~^|&]{1,3}|\)s?|__)
+    |(?P<blank>_{3,}))
+    (?![\w{}\[\]<>%@\#$~^|&=])""",
+    re.X,
 )
+_PAIRS = str.maketrans("([{<", ")]}>")
+# Notations that are of placeholders wherever they stand in prose, a name written as a.
+_KNOWN = frozenset("{{a}} {{{a}}} {%a%} {%=a%} <%a%> <%=a%> <%-a%> <%-a-%> <%=a-%> <%!a%> ${a} #{a} [[a]] <<a>> %%a%% @@a@@ __a__ [%a%] {#a#} $(a)".split())
+# Notations that code and markup share; they count only where aligned records hold several notations.
+_SHARED = ["{a}", "[a]", "<a>", "%a%", "%(a)s", "|a|", "&a&", "<a/>", "_"]
+_RETAINED = ["{a}", "%a%", "%(a)s", "_"]
+# Names that ask to be replaced, whatever the signs around them.
+_ASKS = re.compile(r"^(?:your|insert|enter|add|replace)[ _\-]\w|\b(?:goes[ _\-])?here$", re.I)
 # Words with which a text speaks about placeholders.
 _ABOUT = re.compile(r"\b(?:placeholders?|template engine|templating|interpolat\w*|substitut\w*|syntax|notation|variables?|literal\w*|escap\w+|(?:tag|marker|token|string|word|snippet|pattern|expression)s? (?:in|like|such)|such as|plantilla|Platzhalter|Vorlage|gabarit|marcador)\b|\b(?:gets?|is|are) (?:replaced|filled|expanded|rendered)\b", re.I)
-#: What every notation of a mark holds.
-_LIKELY = re.compile(r"[{\[<]\s*[{%<\[\w]|%[%(A-Za-z_]|@@|__| here\W")
+_LIKELY = re.compile(r"[{\[<%@#$~^|&]\s?\w|[=\-!*]\s?[^\W\d_]|\$\(|%\(|__")
 _FENCE = re.compile(r"(```|~~~).*?(?:\1|\Z)", re.S)
 _INLINE = re.compile(r"(`+)(?=[^`])[^\n]*?[^`]\1(?!`)")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|(?<!\w)'[^'\n]*'(?!\w)|«[^»\n]*»|‘[^’\n]*’")
@@ -120,21 +122,53 @@ _TRIGGERS = frozenset(
 )
 _ERROR_LINE = re.compile(r"[\w.]*(?:Error|Exception)\b|xxx|at [\w.$<>]+\(")
 _VERSIONED = re.compile(r"\w/\d+\.\d|\bN/A\b", re.I)
-_PAGES = re.compile("|".join(f"(?:{p})" for p in _PAGE), re.I | re.M)
-_FILLERS = re.compile("|".join(f"(?:{p})" for p in _FILLER), re.I | re.M)
 _NAVIGATION = re.compile(r"^\s*(?:[^\n|·•>]{1,30}\s*[|·•»]\s*){2,}[^\n|·•]{1,30}\s*$", re.M)
-_HEADING = re.compile(r"^\s*#{1,6}\s[^\n]*$", re.M)
+_SEPARATOR = re.compile("[|·•»]")
+_HEADING = re.compile(r"^[ \t]*#{1,6}\s[^\n]*$", re.M)
+_DIGIT = re.compile(r"\d")
+#: Digits, letters of hexadecimal numbers and blanks, which pages of one template do not share.
+_VARIES = str.maketrans("", "", "0123456789abcdef \t\r\n")
 _NUMBER = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 
 
+def _by_trigger(patterns: list[str]) -> dict[str, list[int]]:
+    """For each trigger word the places of the patterns that hold it."""
+    out: dict[str, list[int]] = {}
+    for i, p in enumerate(patterns):
+        spelled = " ".join([p.replace("?", ""), re.sub(r"\w\?", "", p), p.replace("[sz]", "s").replace("?", ""), p.replace("[sz]", "z").replace("?", "")]).lower()
+        for w in _TRIGGERS:
+            if w in spelled:
+                out.setdefault(w, []).append(i)
+    return out
+
+
+_WORDINGS = _PAGE + _FILLER
+_COMPILED = [re.compile(p, re.I | re.M) for p in _WORDINGS]
+_WITH = _by_trigger(_WORDINGS)
+#: Wordings that lines of errors and versions may hold without any trigger word.
+_UNTRIGGERED = [i for i, p in enumerate(_WORDINGS) if "traceback" in p or "exception" in p or "nginx" in p or "xxx" in p or "n/a" in p]
+
+
 def prose(text: str) -> str:
     """The text without fenced and inline code."""
     return _INLINE.sub(" ` ", _FENCE.sub("\n", text))
 
 
-def marks(text: str) -> list[tuple[str, str, str, bool]]:
-    """``(context, notation, name, discussed)`` of each placeholder mark in the prose of a text."""
-    if not re.search(r"[{<\[%@_(]", text):
+def _read(m: re.Match) -> tuple[str, str] | None:
+    """Notation and name of a mark; None if its signs do not belong together."""
+    if m["blank"]:
+        return "_", ""
+    a, b = m["open"], m["close"]
+    inner, outer = a.strip("=-!*"), b.lstrip("-*!=").removesuffix("s") if ")" in b else b.lstrip("-*!=")
+    mirrored = inner[::-1].translate(_PAIRS)
+    if not (mirrored == outer or mirrored.lstrip("#$%") == outer or mirrored.rstrip("#$%") == outer):
+        return None
+    return f"{a}a{b}", m["name"].strip()
+
+
+def marks(text: str) -> list[tuple[str, str, str, bool, bool]]:
+    """``(context, notation, name, known, discussed)`` of each mark in the prose of a text."""
+    if not _LIKELY.search(text):
         return []
     out = []
     for sentence in _SENTENCE.split(prose(text)):
@@ -145,47 +179,55 @@ def marks(text: str) -> list[tuple[str, str, str, bool]]:
         quoted = [m.span() for m in _QUOTED.finditer(sentence)]
         code = len(_CODE.findall(rest)) > 1 + len(rest) // 120
         about = bool(_ABOUT.search(rest))
-        for m in found:
-            if code or any(a < m.start() and m.end() < b for a, b in quoted):
+        plain = _MARKS.sub(" \x00 ", sentence)
+        parts = [_WORD.findall(x.lower()) for x in plain.split("\x00")]
+        for k, m in enumerate(found):
+            got = _read(m)
+            if got is None or code or any(a < m.start() and m.end() < b for a, b in quoted):
                 continue
-            left = _WORD.findall(_MARKS.sub(" \x00 ", sentence[: m.start()]).lower().rpartition("\x00")[2])[-2:]
-            right = _WORD.findall(_MARKS.sub(" \x00 ", sentence[m.end() :]).lower().partition("\x00")[0])[:2]
-            out.append((f"{' '.join(left)} _ {' '.join(right)}", m.lastgroup, m[0].strip("{}<>[]()%@_#$= -"), about))
+            notation, name = got
+            known = notation in _KNOWN or bool(name) and not notation.startswith("_") and bool(_ASKS.search(name))
+            out.append((f"{' '.join(parts[k][-2:])} _ {' '.join(parts[k + 1][:2])}", notation, name, known, about))
     return out
 
 
+def _plain(x: str) -> str:
+    """A sentence without what differs between pages of one template."""
+    return _NUMBER.sub("0", x) if _DIGIT.search(x) else x
+
+
 _judged: dict[str, tuple[int, int, list[str]]] = {}
 
 
 def _judge(line: str, ws: list[str]) -> tuple[int, int, list[str]]:
     """Of a line or sentence: hits of page and filler wording, words they cover, the sentences left."""
-    latin = sum(w in _LATIN for w in ws)
+    latin = len(_LATIN.intersection(ws)) and sum(w in _LATIN for w in ws)
     if latin >= 3 and latin >= 0.6 * len(ws):
         return 1, len(ws), []
     hits, covered, rest = 0, 0, line
     # page and filler wording holds no inline code
-    if "`" not in line and "()" not in line and (not _TRIGGERS.isdisjoint(ws) or _VERSIONED.search(line) or _ERROR_LINE.match(line.strip())):
-        spans = []
-
-        def take(m: re.Match) -> str:
-            spans.append(len(_WORD.findall(m[0])))
-            return "\n"
-
-        rest = _FILLERS.sub(take, _PAGES.sub(take, line))
-        hits, covered = len(spans), sum(spans)
-    return hits, covered, [_NUMBER.sub("0", x.strip().lower()) for x in rest.split("\n") if _WORD.search(x)]
-
-
-def page(text: str) -> tuple[int, int, int, list[str]] | None:
-    """``(words, words in page or filler wording, strong hits, other sentences)``; None if the text is too long for a page."""
-    if not text.strip() or len(text) > PAGE_WORDS * 12:
-        return None
-    body = _NAVIGATION.sub("\n", text)
-    body = _HEADING.sub("\n", body) if _HEADING.sub("", body).strip() else body.replace("#", " ")
-    total = len(_WORD.findall(body))
-    if total > PAGE_WORDS:
-        return None
-    strong, covered, others, left = 0, 0, [], 0
+    if "`" not in line and "()" not in line:
+        tried = {i for w in _TRIGGERS.intersection(ws) for i in _WITH.get(w, ())}
+        if tried or _VERSIONED.search(line) or _ERROR_LINE.match(line.strip()):
+            spans = []
+
+            def take(m: re.Match) -> str:
+                spans.append(len(_WORD.findall(m[0])))
+                return "\n"
+
+            for i in sorted(tried.union(_UNTRIGGERED)):
+                rest = _COMPILED[i].sub(take, rest)
+            hits, covered = len(spans), sum(spans)
+    return hits, covered, [_plain(x.strip().lower()) for x in rest.split("\n") if _WORD.search(x)]
+
+
+def page(text: str) -> tuple[int, int, int, list[str]]:
+    """``(words, words in page or filler wording, hits of such wording, other sentences)`` of a text of any length, headings and navigation aside."""
+    body = _NAVIGATION.sub("\n", text) if _SEPARATOR.search(text) else text
+    bare = _HEADING.sub("\n", body)
+    body = bare if bare.strip() else body.replace("#", " ")
+    total = strong = covered = 0
+    others: list[str] = []
     for line in _SENTENCE.split(body):
         ws = _WORD.findall(line.lower())
         if not ws:
@@ -196,58 +238,87 @@ def page(text: str) -> tuple[int, int, int, list[str]] | None:
             if len(_judged) > 50_000:
                 _judged.clear()
             _judged[line] = known
-        strong, covered, others, left = strong + known[0], covered + known[1], others + known[2], left + len(ws) - known[1]
-        if left > 60 and left > 0.5 * total:  # too much of it is other text, whatever follows
-            return None
+        total, strong, covered, others = total + len(ws), strong + known[0], covered + known[1], others + known[2]
     return total, covered, strong, others
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for doc, text in zip(b["doc_id"], b["text"]):
-            for context, notation, name, about in dict.fromkeys(marks(text)):
-                rows.append((doc, context, notation, name, about, None, None, None, None))
-            p = page(text)
-            if p and p[2]:
-                rows.append((doc, None, None, None, None, *p))
-        yield pd.DataFrame(rows, columns=["doc_id", "context", "notation", "name", "about", "words", "covered", "strong", "others"]).astype({"words": "Int32", "covered": "Int32", "strong": "Int32", "about": "boolean"})
-
-
-_SCHEMA = "doc_id long, context string, notation string, name string, about boolean, words int, covered int, strong int, others array<string>"
+        for doc, t, text in zip(b["doc_id"], b["t"], b["text"]):
+            for context, notation, name, known, about in dict.fromkeys(marks(text)):
+                rows.append((doc, t, context, notation, name, known, about, *(None,) * 7))
+            words, covered, strong, others = page(text)
+            if not words:
+                continue
+            sizes: dict[int, int] = {}
+            for o in others:
+                h = xxhash.xxh3_64_intdigest(o) - (1 << 63)
+                sizes[h] = sizes.get(h, 0) + len(_WORD.findall(o))
+            family = min(sizes, default=0)
+            whole = xxhash.xxh3_64_intdigest(text.lower().translate(_VARIES)) - (1 << 63)
+            rows.append((doc, t, *(None,) * 5, family, whole, words, covered, strong, np.array(list(sizes), np.int64), np.array(list(sizes.values()), np.int32)))
+        out = pd.DataFrame(rows, columns=["doc_id", "t", "context", "notation", "name", "known", "about", "family", "whole", "words", "covered", "strong", "sentences", "sizes"])
+        yield out.astype({"known": "boolean", "about": "boolean", "family": "Int64", "whole": "Int64", "words": "Int32", "covered": "Int32", "strong": "Int32"})
+
+
+_SCHEMA = "doc_id long, t long, context string, notation string, name string, known boolean, about boolean, family long, whole long, words int, covered int, strong int, sentences array<long>, sizes array<int>"
+
+
+def _slots(scanned: DataFrame) -> DataFrame:
+    """doc_id, kind, evidence: records with a mark left in a slot."""
+    each = scanned.where("context IS NOT NULL").select("doc_id", "t", "context", F.xxhash64("context").alias("c"), "notation", "name", "known", "about")
+    # what aligned records hold at the same place: distinct texts first, so copies do not count
+    distinct = each.groupBy("c", "notation", "name").agg(F.min("t").alias("t"), F.count_distinct("t").alias("texts"))
+    induced = distinct.groupBy("c").agg(F.count_distinct("notation").alias("notations"), F.count_distinct("name").alias("names"), F.sum("texts").alias("texts"))
+    induced = cut(induced)
+    slots = cut(each.join(broadcast_below(induced, induced.count(), 48), "c"))
+    several = F.col("notations") >= F.when(F.size(F.split("context", r"\w+")) > 3, 2).otherwise(3)  # fewer words around it tell less
+    marks_of = slots.groupBy("notation").agg(F.count_if(several & ~F.col("about")).alias("in_slots"), F.count_if(~F.col("about")).alias("marks"))
+    placeholders = cut(marks_of.where(f"in_slots >= 2 AND in_slots >= {INDUCED} * marks").select("notation", F.lit(True).alias("induced")))
+    judged = slots.join(broadcast_below(placeholders, placeholders.count(), 64), "notation", "left").withColumn("induced", F.coalesce("induced", F.lit(False)) & ~F.col("notation").isin(_SHARED))
+    # one notation that keeps its single name, or its blank, over many texts was left unfilled in each of them
+    kept = F.col("notation").isin(_RETAINED) & (F.col("names") == 1) & (F.col("texts") >= RECURS)
+    filled = F.when(F.col("about"), F.col("notations") >= 3).otherwise(several | F.col("known") | F.col("induced") | kept)
+    return judged.where(filled).groupBy("doc_id").agg(F.lit("slot").alias("kind"), F.min("context").alias("evidence"))
+
+
+def _pages(scanned: DataFrame) -> DataFrame:
+    """doc_id, kind, evidence: texts of which hardly a word is their own."""
+    docs = scanned.where("words IS NOT NULL").select("doc_id", "t", "family", "whole", "words", "covered", "strong", "sentences", "sizes")
+    texts = docs.drop("doc_id").groupBy("t").agg(*[F.first(c).alias(c) for c in ("family", "whole", "words", "covered", "strong", "sentences", "sizes")])
+    texts = cut(texts)
+    # texts that share their least sentence are versions of one another and count once
+    held = texts.select("family", F.explode("sentences").alias("s")).distinct()
+    furniture = cut(held.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS).select("s"))
+    likely = texts.where("strong > 0")
+    known = likely.select("t", F.explode(F.arrays_zip("sentences", "sizes")).alias("x")).select("t", F.col("x.sentences").alias("s"), F.col("x.sizes").alias("n"))
+    known = known.join(broadcast_below(furniture, furniture.count(), 16), "s").groupBy("t").agg(F.sum("n").alias("recurring"))
+    templates = texts.groupBy("whole").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS).select("whole", F.lit(True).alias("template"))
+    judged = likely.select("t", "whole", "words", "covered").join(known, "t", "left").withColumn("left", F.col("words") - F.col("covered") - F.coalesce("recurring", F.lit(0)))
+    empty = (F.col("left") <= 0.2 * F.col("words")) | ((F.col("left") <= 8) & (F.col("covered") >= 4) & (F.col("covered") * 2 >= F.col("left")))
+    by_wording = judged.where(empty).select("t", F.concat(F.col("covered"), F.lit(" of "), F.col("words"), F.lit(" words")).alias("evidence"))
+    by_template = texts.select("t", "whole").join(templates, "whole").select("t", F.lit("recurring page").alias("evidence"))
+    gone = cut(by_wording.unionByName(by_template).groupBy("t").agg(F.min("evidence").alias("evidence")))
+    return docs.select("doc_id", "t").join(broadcast_below(gone, gone.count(), 64), "t").groupBy("doc_id").agg(F.lit("page").alias("kind"), F.min("evidence").alias("evidence"))
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """doc_id, kind (slot or page), evidence: texts with unfilled slots, and texts that are pages without content.
 
-    A mark counts unless it stands in code or quotes; one beside words about
-    placeholders counts only if the slot, aligned over the corpus, is held in
-    several notations.  A page is a text of at most ``PAGE_WORDS`` words of which,
-    headings and navigation aside, nearly all belong to page wording, filler or
-    sentences recurring over such pages.  Null ids and null or blank texts give no
-    rows; a text that recurs is judged under each of its ids; an empty table gives
-    no rows.
+    A mark counts if texts aligned by the words around it hold several notations, if
+    its notation is one of placeholders (known, or induced from such slots) or its
+    name asks to be replaced; one beside words about placeholders counts only where
+    three notations meet; one in code or quotes never does.  A page is a text of any
+    length of which, headings and navigation aside, nearly all words belong to page
+    wording, filler or sentences recurring over at least ``RECURS`` otherwise
+    different texts, or that recurs in so many texts with only numbers changed.  Null
+    ids and null or blank texts give no rows; a text that recurs is judged once and
+    named under each of its ids; an empty table gives no rows.
     """
-    docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = documents.select("doc_id", F.xxhash64("text").alias("t"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     scanned = cut(docs.mapInPandas(_scan, _SCHEMA))
-    slots = scanned.where("context IS NOT NULL").select("doc_id", "context", "notation", "name", "about")
-    induced = slots.groupBy("context").agg(F.count_distinct("notation").alias("notations"), F.count_distinct("name").alias("names"))
-    kinds = induced.count()
-    # a notation that code shares counts where the aligned records hold several names or notations
-    weak = F.col("notation").isin("brace", "blank", "percent1", "printf")
-    aligned = (F.col("notations") >= 2) | (F.col("names") >= 2)
-    judged = slots.join(broadcast_below(induced, kinds, 80), "context").where(F.when(F.col("about"), F.col("notations") >= 3).otherwise(~weak | aligned))
-    by_slot = judged.groupBy("doc_id").agg(F.lit("slot").alias("kind"), F.min("context").alias("evidence"))
-
-    pages = scanned.where("words IS NOT NULL")
-    sentences = pages.select("doc_id", "words", "covered", F.explode("others").alias("s"))
-    likely = sentences.where("covered >= 0.3 * words")
-    furniture = likely.groupBy("s").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= RECURS).select("s")
-    known = sentences.join(furniture, "s").groupBy("doc_id").agg(F.sum(F.size(F.split("s", r"\W+"))).alias("recurring"))
-    whole = pages.join(known, "doc_id", "left").withColumn("left", F.col("words") - F.col("covered") - F.coalesce("recurring", F.lit(0)))
-    empty = (F.col("left") <= 0.2 * F.col("words")) | ((F.col("left") <= 8) & (F.col("covered") >= 4) & (F.col("covered") * 2 >= F.col("left")))
-    by_page = whole.where(empty).select("doc_id", F.lit("page").alias("kind"), F.concat(F.col("covered"), F.lit(" of "), F.col("words"), F.lit(" words")).alias("evidence"))
-    return by_slot.unionByName(by_page.distinct())
+    return _slots(scanned).unionByName(_pages(scanned))
 
 
 def found(documents: DataFrame) -> DataFrame:

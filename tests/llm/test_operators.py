@@ -320,6 +320,31 @@ def test_p8_cases(spark):
     assert p8_residue.real_texts(df).count() == len(fine)
 
 
+def test_p8_pages_of_any_length_and_in_any_words(spark):
+    rng = random.Random(2)
+    words = [f"v{c}{d}" for c in "abcdefgh" for d in "klmnopq"]
+    real = [" ".join(rng.choices(words, k=40)) + "." for _ in range(60)]
+    latin = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmod tempor incididunt ut labore. " * 60
+    trace = "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/app/a{i}.py", line {i}, in run' for i in range(200)) + "\nValueError: bad value"
+    unknown = [f"Kapcsolat megszakadt. A lap nem jelent meg ({rng.randrange(10**8)}). Kod {rng.randrange(10**6):x}a1." for _ in range(5)]
+    versions = [real[0] + " " + real[1] + " Try again later. An unexpected error occurred while rendering this page. " + real[2 + i] for i in range(6)]  # of one text
+    assert len(latin.split()) > 800 and len(trace) > 3600
+    rows = [(i, t) for i, t in enumerate([latin, trace, *unknown])] + [(100 + i, t) for i, t in enumerate(versions + real)]
+    assert sorted(r[0] for r in p8_residue.found(frame(spark, DOCS, rows)).collect()) == list(range(7))
+
+
+def test_p8_slots_are_induced(spark):
+    rng = random.Random(3)
+    own = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(12)) + ". "
+    lines = ["Dear ~~{}~~, thanks for the review.", "Dear ^{}^, thanks for the review.", "Dear {{{}}}, thanks for the review.", "Dear |*{}*|, thanks for the review."]
+    rows = [(i, own() + x.replace("{}", n) + own()) for i, (x, n) in enumerate(zip(lines, ["a_name", "team", "owner", "x" * 90]))]
+    rows = [r for r in rows if "~~" not in r[1]]
+    rows += [(10 + i, own() + "Version {version} of the guide is out. " + own()) for i in range(4)]  # retained in each of them
+    rows += [(20 + i, own() + f"The set {{{n}}} of {own()}") for i, n in enumerate("pqrst")] + [(30 + i, own() + f"See [{n}] of the list {own()}") for i, n in enumerate("pqrst")]
+    rows += [(40, own() + "{{ a_name_of_more_than_forty_characters_that_nobody_filled }} " + own())]
+    assert sorted(r[0] for r in p8_residue.found(frame(spark, DOCS, rows)).collect()) == [1, 2, 3, 10, 11, 12, 13, 40]
+
+
 # empty tables
 def test_empty_tables(spark):
     c, p, d, i, x, l, t = (frame(spark, s, []) for s in (CHUNKS, PAIRS, DOCS, ITEMS, INDEX, LIBS, TARGETS))
