@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "p6_report": lambda s, d: p6_leaks.report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_mix": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
         "p7_full_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"), total_tokens=p7_mix.ALL)[1],
+        "p7_exact_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"), total_tokens=p7_mix.EXACT)[1],
         "p7_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
         "p8_found": lambda s, d: p8_residue.found(table(s, d, "documents")),
         "p8_residue": lambda s, d: p8_residue.residue(table(s, d, "documents")),

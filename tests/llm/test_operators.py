@@ -297,7 +297,7 @@ def test_p7_shares_caps_and_copies(spark):
     docs += [(k + i, docs[i][1], "en", "other") for i in range(5)] + [(k + 9, None, "en", "small"), (k + 10, "  ", "en", "small"), (k + 11, "x", "en", None)]
     targets = frame(spark, TARGETS, [("big_source", 0.6, 2), ("small", 0.1, 3), ("other", 0.2, None), ("absent", 0.1, 4)])
     df = frame(spark, DOCS, docs)
-    chosen, shares = p7_mix.mix(df, targets)
+    chosen, shares = p7_mix.mix(df, targets, total_tokens=p7_mix.EXACT)
     rows = chosen.collect()
     assert len({r["doc_id"] for r in rows}) == len(rows) and not {r["doc_id"] for r in rows} & set(range(520, 600))
     cap = {"big_source": 2, "small": 3, "other": 1}
@@ -306,7 +306,33 @@ def test_p7_shares_caps_and_copies(spark):
     assert got["absent"] == 0 and abs(got["big_source"] - 0.6 / 0.9) < 0.01 and abs(got["small"] - 0.1 / 0.9) < 0.01 and abs(got["other"] - 0.2 / 0.9) < 0.01
     full = {r["source"]: r for r in p7_mix.mix(df, targets, total_tokens=p7_mix.ALL)[1].collect()}
     assert full["small"]["most_repeats"] > 1
-    assert sorted(map(tuple, p7_mix.mix(df, targets)[0].collect())) == sorted(map(tuple, rows))
+    assert sorted(map(tuple, p7_mix.mix(df, targets, total_tokens=p7_mix.EXACT)[0].collect())) == sorted(map(tuple, rows))
+
+
+def test_p7_default_is_as_large_as_the_sources(spark, monkeypatch):
+    monkeypatch.setattr(p7_mix, "RANGE_ROWS", 8)
+    monkeypatch.setattr(p7_mix, "BLOCK_RANGES", 4)
+    rng = random.Random(11)
+    docs, k = [], 0
+    for source, n in (("big", 700), ("small", 60), ("tiny", 10)):
+        for _ in range(n):
+            docs.append((k, " ".join(f"tok{rng.randrange(999)}" for _ in range(rng.randrange(5, 60))), "en", source))
+            k += 1
+    df = frame(spark, DOCS, docs + [(k + i, docs[0][1], "en", "big") for i in range(300)])
+    targets = frame(spark, TARGETS, [("big", 0.6, 1), ("small", 0.3, 5), ("tiny", 0.1, 2)])
+    chosen, shares = p7_mix.mix(df, targets)
+    rows = chosen.collect()
+    size = {r["doc_id"]: r["n_tokens"] for r in p7_mix.sized(df, targets).collect()}
+    assert set(size) == set(range(770))  # copies are one text, under its smallest id
+    total = sum(size.values())
+    got = {r["source"]: r.asDict() for r in shares.collect()}
+    spent = {s: sum(r["n_tokens"] * r["repeats"] for r in rows if r["source"] == s) for s in got}
+    assert all(got[s]["tokens"] == spent[s] for s in got)
+    assert abs(spent["big"] - 0.6 * total) < 100 and abs(spent["small"] - 0.3 * total) < 100  # within a text of the budget
+    assert {r["repeats"] for r in rows if r["source"] == "tiny"} == {2} and got["tiny"]["missing_tokens"] > 0  # all it has, twice
+    repeats = [r["repeats"] for r in rows if r["source"] == "small"]
+    assert len(repeats) == 60 and max(repeats) - min(repeats) == 1 and max(repeats) <= 5
+    assert got["big"]["missing_tokens"] == 0 and abs(sum(r["actual_share"] for r in got.values()) - 1) < 1e-9
 
 
 # problem 8
