@@ -272,13 +272,15 @@ def provenance(files: DataFrame, libraries: DataFrame) -> DataFrame:
     )
     per_file = shape.groupBy(*file).agg(F.max("expansion").alias("expansion"), F.max("density").alias("density"), *[F.sum(c).alias(c) for c in ("code", "literal", "statements", "words", "distinct")], *[F.max(c).alias(c) for c in ("header", "others", "format")])
 
-    # summed within each row first, which combines in the task that reads it; rows of the same text then count once
-    hits = parts.where(F.size("digests") > 0).withColumn("row", F.monotonically_increasing_id()).select(*file, "chunk", "row", F.explode(F.arrays_zip("digests", "lengths")).alias("x")).select(*file, "chunk", "row", F.col("x.digests").alias("digest"), F.col("x.lengths").alias("length"))
-    met = hits.join(broadcast_below(lib, n_lib, 16), "digest").groupBy(*file, "chunk", "row", "lib_file_id").agg(F.sum("length").alias("length"))
-    once = met.groupBy(*file, "chunk", "lib_file_id").agg(F.max("length").alias("length"))
-    shared = once.groupBy(F.col("repo").alias("h_repo"), F.col("file_path").alias("h_path"), "lib_file_id").agg(F.sum("length").alias("shared"))
-    best = shared.groupBy("h_repo", "h_path").agg(F.max("shared").alias("shared"), F.max_by("lib_file_id", F.struct("shared", "lib_file_id")).alias("lib_file_id"))
-    joined = per_file.join(best, [F.col("repo").eqNullSafe(F.col("h_repo")), F.col("file_path").eqNullSafe(F.col("h_path"))], "left")
+    # hits carry two hashes of their file; summed within each row first, as rows of the same text count once
+    key = [F.xxhash64(F.lit(n), *[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in file]).alias(f"k{n}") for n in (1, 2)]
+    rows = parts.where(F.size("digests") > 0).withColumn("row", F.monotonically_increasing_id()).select(*key, "chunk", "row", F.arrays_zip("digests", "lengths").alias("x"))
+    hits = rows.select("k1", "k2", "chunk", "row", F.explode("x").alias("x")).select("k1", "k2", "chunk", "row", F.col("x.digests").alias("digest"), F.col("x.lengths").alias("length"))
+    met = hits.join(broadcast_below(lib, n_lib, 16), "digest").groupBy("k1", "k2", "chunk", "row", "lib_file_id").agg(F.sum("length").alias("length"))
+    once = met.groupBy("k1", "k2", "chunk", "lib_file_id").agg(F.max("length").alias("length"))
+    shared = once.groupBy("k1", "k2", "lib_file_id").agg(F.sum("length").alias("shared"))
+    best = shared.groupBy("k1", "k2").agg(F.max("shared").alias("shared"), F.max_by("lib_file_id", F.struct("shared", "lib_file_id")).alias("lib_file_id"))
+    joined = per_file.withColumns({f"k{n}": k for n, k in zip((1, 2), key)}).join(best, ["k1", "k2"], "left")
 
     p = normal_path(F.col("file_path"))
     copied = F.coalesce(F.try_divide("shared", "words"), F.lit(0.0))
