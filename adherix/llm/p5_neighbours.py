@@ -1,14 +1,15 @@
 """Problem 5: the k most similar vectors of every vector, within its domain.
 
 Inverted file with product-quantised residuals.  Coarse centroids and codebooks
-are trained per domain on a bounded sample; every vector is indexed.  Vectors and
-queries meet by (domain, cell, block): within a block the asymmetric distance
-tables pick a shortlist, whose exact cosines are taken from the vectors; so are
-those of every other row that its quantisation error lets reach the k-th of them,
-so a block's list is exact however alike its rows are.  The per-cell lists of a
-query are merged.  Exact copies are one class, so a group of
-copies of any size is searched once; cells larger than a block are cut into
-blocks on both sides, so no task grows with a hot cell.
+are trained per domain on a bounded sample; every vector is indexed.  Neighbouring
+cells are packed into blocks of bounded size, and a vector is sent once to each block
+that holds a cell it probes, not once to each cell.  Within a block the asymmetric
+distances (a query against the decoded codes) pick a shortlist, whose exact cosines
+are taken from the vectors; so are those of every other row that its quantisation
+error lets reach the k-th of them, so a block's list is exact however alike its rows
+are.  The lists of a query are merged.  Exact copies are one class, so a group of
+copies of any size is searched once; cells larger than a block are cut into blocks,
+and so are the queries of a block, so no task grows with a hot cell.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,15 @@ from adherix.session import broadcast_below, cut
 
 DIM = 64
 K = 10
-#: At most about this many vectors of a domain train its centroids and codebooks.
-SAMPLE = 16_384
-#: Vectors a cell should hold while a domain is small; from SQRT_FROM vectors on, cells grow as the square root.
+#: About so many vectors of a domain, and no more than the second number, train its centroids and codebooks.
+SAMPLE, LARGEST_SAMPLE = 16_384, 65_536
+#: Vectors a cell should hold while a domain is small; in large domains cells grow as the square root of the rows.
 CELL = 600
-MAX_CELLS = 4096
-BLOCK = 8192
+MAX_CELLS = LARGEST_SAMPLE // 4
+#: Rows of the index and of the queries that meet in one task.
+BLOCK, QUERIES = 8192, 65_536
+#: Members of a class of exact copies that are joined with its list in one task.
+COPIES = 100_000
 SUBSPACES, CODES = 16, 64
 #: Rows of a block whose cosines give the first bound; rows that may still reach it follow.
 SHORTLIST = 48
@@ -101,85 +106,117 @@ def _to_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cls": b["cls"], "domain": b["domain"], "vec": [r.tobytes() for r in m]})
 
 
-def _assign(models: dict, shape: dict, queries: bool):
-    """Rows for the index (its own cell, its codes, every query block) or for the queries (the probed cells, every index block)."""
+def _probed(score: np.ndarray) -> np.ndarray:
+    """The cells each row probes."""
+    p = n_probes(score.shape[1])
+    return np.argpartition(-score, p - 1, axis=1)[:, :p] if p < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(score), 1))
+
+
+def _packed(coarse: np.ndarray, held: np.ndarray) -> list[tuple[int, int]]:
+    """For each cell its first block and its number of blocks: cells that lie together share blocks of ``BLOCK`` rows."""
+    order: list[int] = []
+    todo = [np.arange(len(coarse))]
+    while todo:  # halve along the widest direction until a handful is left
+        part = todo.pop()
+        if len(part) <= 2:
+            order += part.tolist()
+            continue
+        x = coarse[part] - coarse[part].mean(axis=0)
+        along = x @ x[np.argmax((x * x).sum(1))]
+        by = part[np.argsort(along, kind="stable")]
+        todo += [by[len(by) // 2 :], by[: len(by) // 2]]
+    out = [(0, 0)] * len(coarse)
+    block, room = -1, 0
+    for c in order:
+        n = int(held[c])
+        if n == 0:
+            continue
+        if n > BLOCK:
+            block, room = block + 1, 0
+            out[c] = (block, -(-n // BLOCK))
+            block += out[c][1] - 1
+            continue
+        if n > room:
+            block, room = block + 1, BLOCK
+        out[c] = (block, 1)
+        room -= n
+    return out
+
+
+def _assign(models: Broadcast, shape: Broadcast, queries: bool):
+    """Rows for the index (its block, its codes, every share of the queries) or for the queries (each block that holds a probed cell)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for domain, part in b.groupby("domain"):
-                coarse, books = _model(models[domain])
+                coarse, books = _model(models.value[domain])
+                first, count, shares = shape.value[domain]
                 x = np.frombuffer(b"".join(part["vec"]), np.float32).reshape(len(part), -1)
                 score = x @ coarse.T
+                cls = part["cls"].to_numpy()
+                spread = cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
                 if queries:
-                    p = n_probes(len(coarse))
-                    cells = np.argpartition(-score, p - 1, axis=1)[:, :p] if p < len(coarse) else np.tile(np.arange(len(coarse)), (len(part), 1))
-                    codes = [b""] * len(part)
+                    asks = np.zeros((len(part), len(shares)), bool)
+                    cells = _probed(score)
+                    for k in range(int(count.max(initial=0))):
+                        on = k < count[cells]
+                        asks[np.nonzero(on)[0], (first[cells] + k)[on]] = True
+                    rows, block = np.nonzero(asks)
+                    share = (spread[rows] % shares[block].astype(np.uint64)).astype(np.int64)
+                    codes = np.full(len(rows), b"", object)
+                    cell = np.zeros(len(rows), np.int32)
                 else:
-                    cells = np.argmax(score, axis=1)[:, None]
-                    rest = x - coarse[cells[:, 0]]
+                    own = np.argmax(score, axis=1)
+                    rest = x - coarse[own]
                     sub = x.shape[1] // SUBSPACES
-                    codes = np.stack([np.argmax(rest[:, i * sub : (i + 1) * sub] @ books[i].T - 0.5 * (books[i] ** 2).sum(1), axis=1) for i in range(SUBSPACES)], 1).astype(np.uint8)
-                    codes = [c.tobytes() for c in codes]
-                cls = part["cls"].to_numpy()
-                rows = np.repeat(np.arange(len(part)), cells.shape[1])
-                flat = cells.reshape(-1)
-                blocks_i = np.array([shape.get((domain, int(c)), (0, 0))[0] for c in range(len(coarse))])
-                blocks_q = np.array([shape.get((domain, int(c)), (0, 0))[1] for c in range(len(coarse))])
-                mine, others = (blocks_q, blocks_i) if queries else (blocks_i, blocks_q)
-                # own block by the class hash, times each block of the other side
-                own = (cls.astype(np.uint64)[rows] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.maximum(mine[flat], 1).astype(np.uint64)
-                times = others[flat]
-                rows, flat, own = np.repeat(rows, times), np.repeat(flat, times), np.repeat(own.astype(np.int64), times)
-                other = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-                vec = part["vec"].to_numpy()
-                yield pd.DataFrame({"domain": domain, "cell": flat, "iblock": other if queries else own, "qblock": own if queries else other, "cls": cls[rows], "vec": vec[rows], "codes": np.array(codes, object)[rows]})
+                    coded = np.stack([np.argmax(rest[:, i * sub : (i + 1) * sub] @ books[i].T - 0.5 * (books[i] ** 2).sum(1), axis=1) for i in range(SUBSPACES)], 1).astype(np.uint8)
+                    at = first[own] + (spread % np.maximum(count[own], 1).astype(np.uint64)).astype(np.int64)
+                    times = shares[at]
+                    rows = np.repeat(np.arange(len(part)), times)
+                    share = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+                    block, cell = at[rows], own[rows].astype(np.int32)
+                    codes = np.array([c.tobytes() for c in coded], object)[rows]
+                yield pd.DataFrame({"domain": domain, "block": block.astype(np.int32), "share": share.astype(np.int32), "cell": cell, "cls": cls[rows], "vec": part["vec"].to_numpy()[rows], "codes": codes})
 
     return run
 
 
-def _probe_counts(models: dict):
+def _probe_counts(models: Broadcast):
     """How many vectors each cell holds and how many queries probe it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for b in batches:
             for domain, part in b.groupby("domain"):
-                coarse, _ = _model(models[domain])
-                x = np.frombuffer(b"".join(part["vec"]), np.float32).reshape(len(part), -1)
-                score = x @ coarse.T
-                p = n_probes(len(coarse))
-                probed = np.argpartition(-score, p - 1, axis=1)[:, :p] if p < len(coarse) else np.tile(np.arange(len(coarse)), (len(part), 1))
+                coarse, _ = _model(models.value[domain])
+                score = np.frombuffer(b"".join(part["vec"]), np.float32).reshape(len(part), -1) @ coarse.T
                 t = total.setdefault(domain, np.zeros((2, len(coarse)), np.int64))
                 t[0] += np.bincount(np.argmax(score, axis=1), minlength=len(coarse))
-                t[1] += np.bincount(probed.reshape(-1), minlength=len(coarse))
+                t[1] += np.bincount(_probed(score).reshape(-1), minlength=len(coarse))
         rows = [(d, i, int(t[0, i]), int(t[1, i])) for d, t in total.items() for i in range(t.shape[1])]
         yield pd.DataFrame(rows, columns=["domain", "cell", "held", "probed"])
 
     return run
 
 
-def _search(models: dict, k: int):
+def _search(models: Broadcast, k: int):
     def run(key, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"cls": [], "near": [], "sims": []}
         if len(index) and len(asked):
-            domain, cell = key[0], int(key[1])
-            coarse, books = _model(models[domain])
+            coarse, books = _model(models.value[key[0]])
             x = np.frombuffer(b"".join(index["vec"]), np.float32).reshape(len(index), -1)
             codes = np.frombuffer(b"".join(index["codes"]), np.uint8).reshape(len(index), SUBSPACES)
             ids = index["cls"].to_numpy()
             q_all = np.frombuffer(b"".join(asked["vec"]), np.float32).reshape(len(asked), -1)
             q_ids = asked["cls"].to_numpy()
             take = min(SHORTLIST, len(ids))
-            sub = x.shape[1] // SUBSPACES
             step = max(1, 2_000_000 // len(ids))
-            held = coarse[cell] + np.concatenate([books[i][codes[:, i]] for i in range(SUBSPACES)], axis=1)
+            held = coarse[index["cell"].to_numpy()] + np.concatenate([books[i][codes[:, i]] for i in range(SUBSPACES)], axis=1)
             error = np.linalg.norm(x - held, axis=1) + np.float32(ROUNDING)
             for a in range(0, len(q_all), step):
                 q = q_all[a : a + step]
                 own = q_ids[a : a + step, None]
-                guess = np.repeat((q @ coarse[cell])[:, None], len(ids), 1)
-                for i in range(SUBSPACES):
-                    guess += (q[:, i * sub : (i + 1) * sub] @ books[i].T)[:, codes[:, i]]
+                guess = q @ held.T  # the sums of the asymmetric distance tables, for all rows at once
                 short = np.argpartition(-guess, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
                 exact = np.einsum("qd,qsd->qs", q, x[short])
                 exact[ids[short] == own] = -2
@@ -234,7 +271,7 @@ def most_similar(index: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFram
     if not size:
         return empty
     cells_of = {d: n_cells(n) for d, n in size.items()}
-    share = F.create_map(*[x for d, n in size.items() for x in (F.lit(d), F.lit(min(1.0, sample / n)))])
+    share = F.create_map(*[x for d, n in size.items() for x in (F.lit(d), F.lit(min(1.0, min(LARGEST_SAMPLE, max(sample, 4 * cells_of[d])) / n)))])
     drawn = classes.where((F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("domain")])
     trained = drawn.groupBy("domain").applyInPandas(_train(cells_of), "domain string, coarse binary, books binary").collect()
     models = {r["domain"]: (bytes(r["coarse"]), bytes(r["books"])) for r in trained}
@@ -242,13 +279,23 @@ def most_similar(index: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFram
         left = classes.where(~F.col("domain").isin(list(models)))
         models |= {r["domain"]: (bytes(r["coarse"]), bytes(r["books"])) for r in left.groupBy("domain").applyInPandas(_train(cells_of), "domain string, coarse binary, books binary").collect()}
 
-    held = classes.mapInPandas(_probe_counts(models), "domain string, cell int, held long, probed long").groupBy("domain", "cell").agg(F.sum("held"), F.sum("probed")).collect()  # a row per cell
-    shape = {(d, c): (-(-h // BLOCK), -(-p // BLOCK)) for d, c, h, p in held if h and p}
-    schema = "domain string, cell int, iblock int, qblock int, cls long, vec binary, codes binary"
-    keys = ["domain", "cell", "iblock", "qblock"]
-    indexed = classes.mapInPandas(_assign(models, shape, False), schema)
-    asked = classes.mapInPandas(_assign(models, shape, True), schema)
-    lists = indexed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search(models, k), "cls long, near array<long>, sims array<float>")
+    sent = spark.sparkContext.broadcast(models)  # of bounded size a domain
+    held: dict = {d: np.zeros((2, len(_model(m)[0])), np.int64) for d, m in models.items()}
+    for d, c, h, p in classes.mapInPandas(_probe_counts(sent), "domain string, cell int, held long, probed long").groupBy("domain", "cell").agg(F.sum("held"), F.sum("probed")).collect():  # a row per cell
+        held[d][:, c] = h, p
+    shape = {}
+    for d, (h, p) in held.items():
+        packed = np.array(_packed(_model(models[d])[0], h), np.int64).reshape(-1, 2)
+        asked = np.zeros(int((packed[:, 0] + packed[:, 1]).max()), np.int64)
+        for (at, n), times in zip(packed, p):
+            asked[at : at + n] += times
+        shape[d] = packed[:, 0], packed[:, 1], -(-np.clip(asked, 1, size[d]) // QUERIES)
+    placed = spark.sparkContext.broadcast(shape)
+    schema = "domain string, block int, share int, cell int, cls long, vec binary, codes binary"
+    keys = ["domain", "block", "share"]
+    indexed = classes.mapInPandas(_assign(sent, placed, False), schema)
+    asked = classes.mapInPandas(_assign(sent, placed, True), schema)
+    lists = indexed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search(sent, k), "cls long, near array<long>, sims array<float>")
     merged = lists.groupBy("cls").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s.cast("double")).alias("d"), F.col("near").alias("near")))).alias("all"))
     merged = merged.select("cls", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("_p", "_x")).select("cls", (-F.col("_x.d")).alias("sim"), F.col("_x.near").alias("near"))
 
@@ -257,7 +304,13 @@ def most_similar(index: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFram
     own = copies.select("cls", F.explode("ids").alias("near_id"), F.lit(-1.0).alias("d"))
     listed = far.unionByName(own).groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near_id"))), 1, 2 * k + 2).alias("all"))
     n = sum(size.values())
-    result = members.join(broadcast_below(listed, n, 40 * (k + 1)), "cls")
+    # a class of very many copies meets its list in several tasks
+    hot = cut(members.groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select("cls", F.ceil(F.col("n") / COPIES).cast("int").alias("salts")))
+    hot = broadcast_below(hot, hot.count(), 32)
+    salts = F.coalesce("salts", F.lit(1))
+    salted = members.join(hot, "cls", "left").withColumn("salt", F.pmod(F.xxhash64("ref_id"), salts).cast("int")).drop("salts")
+    listed = listed.join(hot, "cls", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    result = salted.join(broadcast_below(listed, n, 40 * (k + 1)), ["cls", "salt"])
     others = F.slice(F.filter("all", lambda x: x["near_id"] != F.col("ref_id")), 1, k)
     result = result.select("ref_id", "domain", F.posexplode(others).alias("_p", "_x"))
     sim = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), -F.col("_x.d")))
