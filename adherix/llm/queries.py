@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "p5_neighbours": lambda s, d: p5_neighbours.most_similar(table(s, d, "pattern_index")),
         "p6_found": lambda s, d: p6_leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p6_report": lambda s, d: p6_leaks.report(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p6_proximity": lambda s, d: p6_leaks.proximity(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id", "matched_words", "span"),
         "p7_mix": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
         "p7_full_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"), total_tokens=p7_mix.ALL)[1],
         "p7_exact_shares": lambda s, d: p7_mix.mix(table(s, d, "documents"), table(s, d, "mix_targets"), total_tokens=p7_mix.EXACT)[1],

@@ -286,6 +286,19 @@ def test_p6_against_brute_force(spark):
     assert {r["item_id"] for r in p6_leaks.report(ddf, idf).collect()} == {i for _, i in want}
 
 
+def test_p6_proximity_and_small_bit_table(spark, monkeypatch):
+    monkeypatch.setattr(p6_leaks, "BITS", 64)  # nearly every word passes; the joins must tell
+    rng = random.Random(7)
+    item = [f"t{i}" for i in range(40)]
+    pad = lambda n: [f"p{rng.randrange(999)}" for _ in range(n)]
+    texts = [pad(20) + item[5:25] + pad(5), pad(9) + item[0:11] + ["x", "y"] + item[11:22] + pad(9), pad(9) + item[0:12] + pad(8) + item[12:24], pad(50), pad(5) + item[10:22] + item[24:34] + pad(3)]
+    docs = frame(spark, DOCS, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    items = frame(spark, ITEMS, [(1, "test", "s", " ".join(item))])
+    assert {r[0] for r in p6_leaks.found(docs, items).collect()} == {0}
+    near = {r["doc_id"]: (r["matched_words"], r["span"]) for r in p6_leaks.proximity(docs, items).collect()}
+    assert near == {0: (20, 20), 1: (22, 24), 4: (22, 22)}
+
+
 # problem 7
 def test_p7_shares_caps_and_copies(spark):
     rng = random.Random(9)
