@@ -199,8 +199,8 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, slack: i
     """doc_id, item_id, matched_words, at_word, item_share, span: documents that hold ``window`` consecutive words of an item.
 
     With ``slack`` the words need only stand close together and in order: up to so
-    many may be put in, left out or changed between two of them, once one half of a
-    window around an anchor is whole.  ``span`` is the length of the run in the document.
+    many may be put in, left out or changed between two of them, if half a window of
+    them stands unbroken somewhere.  ``span`` is the length of the run in the document.
     An item of fewer words must stand in the document whole.  The longest run per
     document and item is reported.  Null or wordless texts and null ids give no
     rows, on either side; repeated rows count once; empty tables give no rows.
@@ -214,7 +214,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, slack: i
     counts = cut(counted.groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi"))
     flat = its.select("item_id", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
     known = flat.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("off", "term", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"))).alias("t"))
-    chosen = known.select("item_id", F.col("t.term").alias("words"), F.col("t.n").alias("ns")).mapInPandas(_anchors(window), "item_id long, term string, off int, context int, key long")
+    chosen = known.select("item_id", F.col("t.term").alias("words"), F.col("t.n").alias("ns")).mapInPandas(_anchors(max(1, window // 2) if slack else window), "item_id long, term string, off int, context int, key long")
     anchors = cut(chosen.join(counts, "term", "left_semi"))  # an anchor that the corpus lacks rules its windows out
     contexts = [r[0] for r in anchors.select("context").distinct().collect()]  # at most twice the window's half
     index = postings(docs, send(bit_table(anchors.select("term"))), contexts)
