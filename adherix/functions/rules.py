@@ -147,8 +147,19 @@ COUNTS: dict[str, Count] = {
     "hard_coded_text": Count([r">[^<{]*[a-zA-Z]{3,}[^<}]*<"]),
 }
 
+#: Counts that no pattern gives alone: the imports of a file as ``scan`` reads them, and effects that use more names than they list.
+DERIVED = ("imports", "absolute_imports", "deep_relative", "ungrouped", "stale_effects")
+
 # Engine, pattern name, pattern type, confidence, where, how many.
 EMITTERS: list[tuple[str, str, str, float, str, str]] = [
+    # the six shapes of an app router path, each of which counts
+    ("architectural", "nextjs_app_router_structure", "architectural", 0.9, APP,
+     "(CASE WHEN path LIKE 'src/app/[%]/%' AND split_part(path, '/', 3) LIKE '[_%]' THEN 1 ELSE 0 END"
+     " + CASE WHEN path LIKE 'src/app/%/layout.ts' OR path LIKE 'src/app/%/layout.tsx' THEN 1 ELSE 0 END + CASE WHEN path LIKE 'src/app/%/page.ts' OR path LIKE 'src/app/%/page.tsx' THEN 1 ELSE 0 END"
+     " + CASE WHEN path LIKE 'src/app/%/loading.ts' OR path LIKE 'src/app/%/loading.tsx' THEN 1 ELSE 0 END + CASE WHEN path LIKE 'src/app/%/error.ts' OR path LIKE 'src/app/%/error.tsx' THEN 1 ELSE 0 END"
+     " + CASE WHEN path LIKE 'src/app/api/%/route.ts' OR path LIKE 'src/app/api/%/route.t' THEN 1 ELSE 0 END)"),
+    ("architectural", "absolute_imports", "import", 0.9, "TRUE", "least(1, c_absolute_imports)"),
+    ("architectural", "grouped_imports", "import", 0.8, "TRUE", "CASE WHEN c_imports > 0 AND c_ungrouped = 0 THEN 1 ELSE 0 END"),
     ("architectural", "nextjs_metadata_exports", "framework", 0.9, "TRUE", "c_metadata_exports"),
     ("architectural", "nextjs_default_export", "framework", 0.9, "(contains(path, '/page.') OR contains(path, '/layout.') OR contains(path, '/loading.') OR contains(path, '/error.'))", "least(1, c_default_function)"),
     ("architectural", "proper_directory_structure", "architectural", 0.7, "(contains(path, 'src/components/') OR contains(path, 'src/app/'))", "1"),
@@ -197,42 +208,45 @@ EMITTERS: list[tuple[str, str, str, float, str, str]] = [
 # Engine, rule, severity, category, how many (0 where it does not fire).
 _IF = "CASE WHEN {} THEN 1 ELSE 0 END"
 RECOMMENDATIONS: list[tuple[str, str, str, str, str]] = [
-    ("architectural", "COMPONENT_PASCAL_CASE", "warning", "naming", _IF.format(MARKUP + " AND contains(path, 'components') AND NOT substring(name, 1, 1) BETWEEN 'A' AND 'Z'")),
-    ("architectural", "STANDARD_DIRECTORY_STRUCTURE", "info", "structure", _IF.format("NOT (contains(path, 'src/') OR contains(path, 'app/') OR contains(path, 'components/') OR contains(path, 'lib/') OR contains(path, 'types/'))")),
-    ("architectural", "MISSING_METADATA", "info", "nextjs", _IF.format("contains(path, '/layout.') AND NOT contains(content, 'metadata')")),
-    ("architectural", "ASYNC_SERVER_COMPONENT", "warning", "nextjs", _IF.format("contains(path, '/page.') AND contains(content, 'async') AND NOT contains(content, 'use client') AND c_default_async_function = 0")),
-    ("quality", "PREFER_FUNCTION_COMPONENTS", "info", "react", _IF.format(COMPONENT + " AND c_function_component = 0")),
-    ("quality", "MISSING_PROPS_INTERFACE", "warning", "react", _IF.format(COMPONENT + " AND c_props_param > 0 AND c_props_types = 0")),
-    ("quality", "MISSING_KEY_PROP", "warning", "react", _IF.format(COMPONENT + " AND c_map_without_key > 0")),
-    ("quality", "MISSING_USE_CLIENT", "warning", "react", _IF.format(COMPONENT + " AND c_client_features > 0 AND c_use_client_directive = 0 AND NOT contains(path, 'layout.tsx')")),
-    ("quality", "CONSIDER_SERVER_COMPONENT", "info", "react", _IF.format(COMPONENT + " AND c_use_client_directive = 0 AND c_data_fetching > 0 AND c_async_function = 0")),
-    ("quality", "MISSING_USEEFFECT_DEPS", "warning", "react", _IF.format(COMPONENT + " AND c_effect_without_deps > 0")),
-    ("quality", "CONSIDER_CONCURRENT_FEATURES", "info", "react", _IF.format(COMPONENT + " AND c_react18 = 0 AND c_expensive > 0")),
+    ("architectural", "PREFER_ABSOLUTE_IMPORTS", "warning", "import_organization", _IF.format("c_deep_relative > 0")),
+    ("architectural", "GROUP_IMPORTS", "info", "import_organization", _IF.format("c_ungrouped > 0")),
+    ("architectural", "COMPONENT_PASCAL_CASE", "warning", "naming_convention", _IF.format(MARKUP + " AND contains(path, 'components') AND NOT substring(name, 1, 1) BETWEEN 'A' AND 'Z'")),
+    ("architectural", "STANDARD_DIRECTORY_STRUCTURE", "info", "file_structure", _IF.format("NOT (contains(path, 'src/') OR contains(path, 'app/') OR contains(path, 'components/') OR contains(path, 'lib/') OR contains(path, 'types/'))")),
+    ("architectural", "MISSING_METADATA", "info", "nextjs_conventions", _IF.format("contains(path, '/layout.') AND NOT contains(content, 'metadata')")),
+    ("architectural", "ASYNC_SERVER_COMPONENT", "warning", "nextjs_conventions", _IF.format("contains(path, '/page.') AND contains(content, 'async') AND NOT contains(content, 'use client') AND c_default_async_function = 0")),
+    ("quality", "PREFER_FUNCTION_COMPONENTS", "info", "react_patterns", _IF.format(COMPONENT + " AND c_function_component = 0")),
+    ("quality", "MISSING_PROPS_INTERFACE", "warning", "react_patterns", _IF.format(COMPONENT + " AND c_props_param > 0 AND c_props_types = 0")),
+    ("quality", "MISSING_KEY_PROP", "warning", "react_performance", _IF.format(COMPONENT + " AND c_map_without_key > 0")),
+    ("quality", "MISSING_USE_CLIENT", "warning", "nextjs_app_router", _IF.format(COMPONENT + " AND c_client_features > 0 AND c_use_client_directive = 0 AND NOT contains(path, 'layout.tsx')")),
+    ("quality", "CONSIDER_SERVER_COMPONENT", "info", "react_server_components", _IF.format(COMPONENT + " AND c_use_client_directive = 0 AND c_data_fetching > 0 AND c_async_function = 0")),
+    ("quality", "MISSING_USEEFFECT_DEPS", "warning", "react_hooks", _IF.format(COMPONENT + " AND c_effect_without_deps > 0")),
+    ("quality", "CONSIDER_CONCURRENT_FEATURES", "info", "react_concurrent", _IF.format(COMPONENT + " AND c_react18 = 0 AND c_expensive > 0")),
     ("quality", "USE_CALLBACK_FOR_HANDLERS", "info", "performance", _IF.format(COMPONENT + " AND contains(content, 'onClick') AND NOT contains(content, 'useCallback')")),
     ("quality", "USE_MEMO_FOR_EXPENSIVE_OPS", "info", "performance", _IF.format(COMPONENT + " AND c_array_work > 0 AND NOT contains(content, 'useMemo')")),
     ("quality", "DANGEROUS_SET_INNER_HTML", "warning", "security", _IF.format("c_dangerous_html > 0")),
     ("quality", "REMOVE_CONSOLE_STATEMENTS", "info", "security", _IF.format("c_console_log > 0")),
     ("quality", "MISSING_ALT_TEXT", "warning", "accessibility", _IF.format(COMPONENT + " AND c_img_without_alt > 0")),
     ("quality", "MISSING_ARIA_LABELS", "info", "accessibility", _IF.format(COMPONENT + " AND c_button_without_aria > 0 AND contains(content, 'onClick')")),
-    ("quality", "MISSING_ASYNC_ERROR_HANDLING", "error", "error_handling", _IF.format("c_awaits > 0 AND c_try_blocks = 0")),
-    ("quality", "MISSING_PROMISE_CATCH", "warning", "error_handling", _IF.format("c_catch_chains < c_then_chains")),
-    ("quality", "MISSING_USEEFFECT_CLEANUP", "warning", "error_handling", _IF.format("c_use_effects > 0 AND c_needs_cleanup > 0 AND c_cleanup_returns = 0")),
-    ("quality", "MISSING_ERROR_BOUNDARY", "info", "error_handling", _IF.format(COMPONENT + " AND c_async_components > 0 AND c_has_boundary = 0")),
-    ("quality", "MISSING_FETCH_ERROR_CHECK", "warning", "error_handling", _IF.format("c_fetch_calls > 0 AND c_ok_checks = 0 AND c_try_blocks = 0")),
+    ("quality", "MISSING_ASYNC_ERROR_HANDLING", "error", "async_error_handling", _IF.format("c_awaits > 0 AND c_try_blocks = 0")),
+    ("quality", "MISSING_PROMISE_CATCH", "warning", "promise_error_handling", _IF.format("c_catch_chains < c_then_chains")),
+    ("quality", "MISSING_USEEFFECT_CLEANUP", "warning", "resource_cleanup", _IF.format("c_use_effects > 0 AND c_needs_cleanup > 0 AND c_cleanup_returns = 0")),
+    ("quality", "MISSING_ERROR_BOUNDARY", "info", "react_error_handling", _IF.format(COMPONENT + " AND c_async_components > 0 AND c_has_boundary = 0")),
+    ("quality", "MISSING_FETCH_ERROR_CHECK", "warning", "api_error_handling", _IF.format("c_fetch_calls > 0 AND c_ok_checks = 0 AND c_try_blocks = 0")),
     ("typescript", "AVOID_ANY_TYPE", "warning", "type_safety", _IF.format("c_any_usage > 0")),
     ("typescript", "ADD_PARAMETER_TYPES", "info", "type_safety", "c_untyped_params"),
     ("typescript", "ADD_RETURN_TYPES", "info", "type_safety", "c_no_return_type"),
     ("typescript", "EXCESSIVE_NON_NULL_ASSERTIONS", "warning", "type_safety", _IF.format("c_non_null > 3")),
-    ("typescript", "EXTRACT_INLINE_TYPES", "info", "interfaces", _IF.format("c_inline_objects > 2")),
-    ("typescript", "CREATE_TYPE_ALIAS", "info", "interfaces", _IF.format("c_string_or_null > 3")),
+    ("typescript", "EXTRACT_INLINE_TYPES", "info", "type_organization", _IF.format("c_inline_objects > 2")),
+    ("typescript", "CREATE_TYPE_ALIAS", "info", "type_organization", _IF.format("c_string_or_null > 3")),
     ("typescript", "USE_GENERICS_FOR_OBJECT_UTILS", "info", "generics", _IF.format("c_object_utils > 0 AND NOT contains(content, '<')")),
-    ("framework", "MISSING_LAYOUT_METADATA", "info", "nextjs_metadata", _IF.format(LAYOUT + " AND c_any_metadata = 0")),
+    ("framework", "MISSING_LAYOUT_METADATA", "info", "nextjs_seo", _IF.format(LAYOUT + " AND c_any_metadata = 0")),
     ("framework", "MISSING_API_ERROR_HANDLING", "warning", "nextjs_api", _IF.format(API + " AND NOT (contains(content, 'try') AND contains(content, 'catch'))")),
     ("framework", "USE_NEXT_RESPONSE", "info", "nextjs_api", _IF.format(API + " AND NOT contains(content, 'NextResponse')")),
     ("framework", "MISSING_USE_CLIENT", "warning", "nextjs_components", _IF.format("path LIKE '%.tsx' AND contains(path, 'components') AND c_client_features > 0 AND c_use_client_directive = 0")),
-    ("framework", "MISSING_KEY_PROP", "warning", "react", _IF.format("contains(content, '.map(') AND NOT contains(content, 'key=')")),
+    ("framework", "MISSING_KEY_PROP", "warning", "react_performance", _IF.format("contains(content, '.map(') AND NOT contains(content, 'key=')")),
+    ("framework", "REVIEW_EFFECT_DEPENDENCIES", "info", "react_hooks", "c_stale_effects"),
     ("framework", "INTERNATIONALIZE_TEXT", "info", "internationalization", _IF.format("contains(content, 'useTranslations') AND c_hard_coded_text > 2")),
-    ("framework", "MISSING_SUSPENSE_BOUNDARY", "info", "performance", _IF.format("contains(content, 'async') AND NOT contains(content, 'Suspense') AND path LIKE '%.tsx'")),
+    ("framework", "MISSING_SUSPENSE_BOUNDARY", "info", "react_async", _IF.format("contains(content, 'async') AND NOT contains(content, 'Suspense') AND path LIKE '%.tsx'")),
 ]
 #: Rules whose place is computed by dividing by the length of the first line: they fail where it is empty.
 FRAGILE = ("MISSING_ASYNC_ERROR_HANDLING", "MISSING_PROMISE_CATCH", "MISSING_USEEFFECT_CLEANUP", "MISSING_FETCH_ERROR_CHECK")

@@ -9,6 +9,25 @@ METHODS = ("weighted_average", "weighted_harmonic_mean", "weighted_geometric_mea
 _LEAST = 1e-8
 
 
+def check_weights(weights: dict[str, float], scores: dict[str, float] | None = None, method: str | None = None) -> None:
+    """Raises ValueError unless the weights are non-negative and add up to 1, the scores lie in [0, 1] and the method is known."""
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("weights must not be negative")
+    total = sum(weights.values())
+    if abs(total - 1.0) > 0.01:
+        raise ValueError(f"weights must add up to 1, not {total}")
+    if any(not 0 <= s <= 1 for s in (scores or {}).values()):
+        raise ValueError("scores must lie between 0 and 1")
+    if method is not None and method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+
+
+def checked(scores: DataFrame) -> DataFrame:
+    """The rows, failing where a score leaves [0, 1] or a weight is negative."""
+    fine = F.col("score").between(0, 1) & (F.col("weight") >= 0)
+    return scores.withColumn("score", F.when(fine | F.col("score").isNull() | F.col("weight").isNull(), F.col("score")).otherwise(F.raise_error(F.lit("score or weight out of range")).cast("double")))
+
+
 def dimension_mean(scores: DataFrame, group: str = "analyzer") -> DataFrame:
     """Mean score per engine, without the files of unknown domain where some are known."""
     known = F.col("domain") != "unknown"
@@ -51,7 +70,7 @@ def code_focused(scores: DataFrame, weights: dict[str, float], keys: list[str])
 
 
 def domain_breakdown(scores: DataFrame) -> DataFrame:
-    """Per domain: rows, distinct files, mean, lowest and highest score."""
+    """Per domain: rows, distinct files, mean, lowest and highest score.  The files themselves are the rows of ``scores``."""
     return scores.groupBy("domain").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"), F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 

@@ -81,3 +81,45 @@ def classify(files: DataFrame) -> DataFrame:
     others = F.filter("o", lambda x: unknown | (x["domain"] != F.col("winner")))
     secondaries = F.transform(F.slice(others, 1, 3), lambda x: F.struct(x["domain"].alias("domain"), x["score"].alias("score")))
     return g.select("file_id", "path", F.when(unknown, "unknown").otherwise(F.col("winner")).alias("domain"), F.when(unknown, F.greatest(F.lit(0.5), F.col("b"))).otherwise(F.col("b")).alias("confidence"), secondaries.alias("secondaries"))
+
+
+def recommendations(classified: DataFrame) -> DataFrame:
+    """file_id, rule_id, severity, category: what the classification says of each file."""
+    said = F.array(
+        F.when(F.col("confidence") < 0.6, F.struct(F.lit("LOW_DOMAIN_CONFIDENCE").alias("rule_id"), F.lit("info").alias("severity"))),
+        F.when(F.col("domain") == "unknown", F.struct(F.lit("UNKNOWN_DOMAIN").alias("rule_id"), F.lit("warning").alias("severity"))),
+        F.when(F.size("secondaries") > 2, F.struct(F.lit("MIXED_DOMAIN_CONCERNS").alias("rule_id"), F.lit("info").alias("severity"))),
+    )
+    return classified.select("file_id", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("x")).select("file_id", "x.*", F.lit("domain_classification").alias("category"))
+
+
+def diagnostics(files: DataFrame) -> DataFrame:
+    """file_id, domain, category, matched, missing, score: per domain and kind of signal the patterns that a file holds and lacks.
+
+    ``matched`` and ``missing`` list the patterns themselves; of the missing ones the
+    first five.  Domains without patterns of a kind give no row of it.
+    """
+    hits = _hits(files)
+    rows = []
+    for d in DOMAINS:
+        path = [F.rlike("path", F.lit(from_start(f"(?:{p})", "i"))).cast("int") for p in dp.PATHS[d]]
+        kinds = [("path", dp.PATHS[d], path, PATH_WEIGHT[d], 0)]
+        if d in dp.IMPORTS:
+            kinds.append(("import", dp.IMPORTS[d], [F.col(f"i_{d}_{i}") for i in range(len(dp.IMPORTS[d]))], IMPORT_WEIGHT[d], 1))
+        if d in dp.CONTENT:
+            kinds.append(("content", dp.CONTENT[d], [F.col(f"c_{d}_{i}") for i in range(len(dp.CONTENT[d]))], CONTENT_WEIGHT[d], 3))
+        for kind, patterns, found, weight, times in kinds:
+            pairs = F.arrays_zip(F.array(*[F.lit(p) for p in patterns]).alias("p"), F.array(*found).alias("n"))
+            total = F.aggregate(F.array(*found), F.lit(0), lambda a, x: a + x)
+            score = F.when(total > 0, F.lit(weight)).otherwise(0.0) if kind == "path" else F.least(F.lit(1.0), total / float(times * len(patterns)) * weight)
+            held, lacked = F.filter(pairs, lambda x: x["n"] > 0), F.filter(pairs, lambda x: x["n"] == 0)
+            rows.append(F.struct(F.lit(d).alias("domain"), F.lit(kind).alias("category"), F.transform(held, lambda x: x["p"]).alias("matched"), F.slice(F.transform(lacked, lambda x: x["p"]), 1, 5).alias("missing"), score.alias("score")))
+    return hits.select("file_id", F.explode(F.array(*rows)).alias("x")).select("file_id", "x.*")
+
+
+def missing_summary(rows: DataFrame) -> DataFrame:
+    """file_id, domain, missing: of the diagnostics the three most useful patterns that a domain lacks, imports first, then content, then path."""
+    rank = F.when(F.col("category") == "import", 0).when(F.col("category") == "content", 1).otherwise(2)
+    few = F.slice("missing", 1, F.when(F.col("category") == "import", 3).when(F.col("category") == "content", 2).otherwise(1))
+    g = rows.groupBy("file_id", "domain").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), few.alias("m")))).alias("all"))
+    return g.select("file_id", "domain", F.slice(F.array_distinct(F.flatten(F.transform("all", lambda x: x["m"]))), 1, 3).alias("missing"))

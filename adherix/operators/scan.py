@@ -54,15 +54,63 @@ def count_column(name: str) -> Column:
 
 
 def used(texts: Iterable[str]) -> list[str]:
-    """Names of the counts that SQL texts mention, in the order of the table."""
+    """Names of the counts that SQL texts mention, in the order of the tables."""
     joined = " ".join(texts)
-    return [n for n in rules.COUNTS if f"c_{n} " in joined + " " or f"c_{n})" in joined or f"c_{n}," in joined]
+    return [n for n in (*rules.COUNTS, *rules.DERIVED) if f"c_{n} " in joined + " " or f"c_{n})" in joined or f"c_{n}," in joined]
+
+
+def imports_of(content: Column) -> Column:
+    """The imports of a text in their order, as an array of (module, kind); no shuffle and no row per line."""
+    lines = F.filter(F.transform(F.split(content, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.startswith("import"))
+
+    def module(x: Column) -> Column:
+        out = None
+        for i, p in enumerate(_IMPORTS):
+            hit, got = F.rlike(x, F.lit("^(?:" + p + ")")), F.regexp_extract(x, r"^(?:" + p + ")", 1 if i == 3 else 2)
+            out = F.when(hit, got) if out is None else out.when(hit, got)
+        return out
+
+    kind = lambda m: F.when(m.startswith("@/"), "absolute_internal").when(m.startswith("./") | m.startswith("../"), "relative").when(~m.startswith("."), "external").otherwise("unknown")
+    known = F.filter(F.transform(lines, module), lambda m: m.isNotNull())
+    none = F.array().cast("array<struct<module:string,kind:string>>")
+    return F.when(F.contains(content, F.lit("import")), F.transform(known, lambda m: F.struct(m.alias("module"), kind(m).alias("kind")))).otherwise(none)
+
+
+#: An effect with its dependency list: what it does and what it lists.
+EFFECT = r"useEffect\s*\(\s*\(\s*\)\s*=>\s*\{([^}]*)\},\s*\[([^\]]*)\]"
+
+
+def derived_column(name: str) -> Column:
+    """A count that is derived from the imports in ``_imports`` or from the effects of a text."""
+    kinds = F.transform("_imports", lambda x: x["kind"])
+    if name == "imports":
+        n = F.size("_imports")
+    elif name == "absolute_imports":
+        n = F.size(F.filter(kinds, lambda k: k == "absolute_internal"))
+    elif name == "deep_relative":
+        n = F.size(F.filter("_imports", lambda x: (x["kind"] == "relative") & (F.regexp_count(x["module"], F.lit(r"\.\./")) > 2)))
+    elif name == "ungrouped":  # external, then internal, then relative ones; two imports are too few to tell
+        inf = F.lit(1 << 30)
+        place = lambda k: F.when(F.array_position(kinds, k) == 0, inf).otherwise(F.array_position(kinds, k))
+        back = F.array_position(F.reverse(kinds), "external")
+        last = F.when(back == 0, 0).otherwise(F.size("_imports") - back + 1)
+        n = ((F.size("_imports") >= 3) & ~((last < place("absolute_internal")) & (place("absolute_internal") < place("relative")))).cast("int")
+    else:
+        p = F.lit(java(EFFECT))
+        both = F.arrays_zip(F.regexp_extract_all("content", p, F.lit(1)).alias("body"), F.regexp_extract_all("content", p, F.lit(2)).alias("deps"))
+        stale = F.size(F.filter(both, lambda e: F.regexp_count(e["body"], F.lit(java(r"\b[a-zA-Z_]\w*\b"))) > F.size(F.filter(F.split(e["deps"], ","), lambda d: F.trim(F.regexp_replace(d, r"\s+", " ")) != "")) + 2))
+        n = F.when(F.contains("content", F.lit("useEffect")), stale).otherwise(0)
+    return n.cast("long").alias(f"c_{name}")
 
 
 def counted(files: DataFrame, analyzer: str, texts: Iterable[str]) -> DataFrame:
     """The files in an engine's scope with the counts that SQL texts mention."""
     scope = f"{rules.SCOPES[analyzer]} AND NOT {rules.EXCLUDED}"
-    return files.where(scope).select("file_id", "path", "name", "content", *[count_column(n) for n in used(texts)])
+    names = used(texts)
+    base = files.where(scope).select("file_id", "path", "name", "content")
+    if any(n in rules.DERIVED[:4] for n in names):
+        base = base.withColumn("_imports", imports_of(F.col("content")))
+    return base.select("file_id", "path", "name", "content", *[derived_column(n) if n in rules.DERIVED else count_column(n) for n in names])
 
 
 def emitters(analyzer: str) -> list[tuple]:
@@ -87,18 +135,20 @@ def pattern_matches(files: DataFrame, analyzer: str) -> DataFrame:
 
 
 def recommendations(files: DataFrame, analyzer: str) -> DataFrame:
-    """file_id, analyzer, rule_id, severity, category, times: one row per file and rule that fires.
+    """file_id, analyzer, rule_id, severity, category, times, seq: one row per file and rule that fires.
+
+    ``seq`` is the place of the rule in the order in which the engines speak.
 
     A file whose first line is empty and that trips one of the fragile rules gives
     the single row ANALYSIS_ERROR instead.
     """
     rs = recommendations_of(analyzer)
     base = counted(files, analyzer, [r[4] for r in rs])
-    structs = ", ".join(f"named_struct('rule_id', {sql_string(r[1])}, 'severity', {sql_string(r[2])}, 'category', {sql_string(r[3])}, 'times', CAST({r[4]} AS BIGINT))" for r in rs)
+    structs = ", ".join(f"named_struct('rule_id', {sql_string(r[1])}, 'severity', {sql_string(r[2])}, 'category', {sql_string(r[3])}, 'times', CAST({r[4]} AS BIGINT), 'seq', {rules.RECOMMENDATIONS.index(r)})" for r in rs)
     failed = failure(analyzer)
-    error = "array(named_struct('rule_id', 'ANALYSIS_ERROR', 'severity', 'error', 'category', 'analysis', 'times', CAST(1 AS BIGINT)))"
+    error = f"array(named_struct('rule_id', 'ANALYSIS_ERROR', 'severity', 'error', 'category', 'analysis', 'times', CAST(1 AS BIGINT), 'seq', {rules.RECOMMENDATIONS.index(rs[0])}))"
     wide = base.selectExpr("file_id", f"inline(CASE WHEN {failed} THEN {error} ELSE array({structs}) END)")
-    return wide.where("times > 0").select("file_id", F.lit(analyzer).alias("analyzer"), "rule_id", "severity", "category", "times")
+    return wide.where("times > 0").select("file_id", F.lit(analyzer).alias("analyzer"), "rule_id", "severity", "category", "times", "seq")
 
 
 def failure(analyzer: str) -> str:
@@ -199,7 +249,7 @@ def import_grouping(files: DataFrame) -> DataFrame:
     g = i.groupBy("file_id").agg(
         F.count("*").alias("imports"),
         F.count_if(F.col("import_type") == "absolute_internal").alias("absolute"),
-        F.count_if(F.regexp_count("module", F.lit(r"\.\./")) > 2).alias("deep_relative"),
+        F.count_if((F.col("import_type") == "relative") & (F.regexp_count("module", F.lit(r"\.\./")) > 2)).alias("deep_relative"),
         F.max(F.when(F.col("import_type") == "external", F.col("k"))).alias("_e"),
         F.min(F.when(F.col("import_type") == "absolute_internal", F.col("k"))).alias("_a"),
         F.min(F.when(F.col("import_type") == "relative", F.col("k"))).alias("_r"),
@@ -217,14 +267,64 @@ def _by_file():
     return Window.partitionBy("file_id").orderBy("line_number")
 
 
-def match_details(files: DataFrame, name: str) -> DataFrame:
-    """file_id, nth, char_offset, line_number, matched_text: every match of a count's first pattern, without a UDF.
+def import_organisation(files: DataFrame) -> DataFrame:
+    """file_id, organisation of every file; 1 where nothing is imported."""
+    known = import_grouping(files).select("file_id", "organisation")
+    return files.select("file_id").join(known, "file_id", "left").select("file_id", F.coalesce("organisation", F.lit(1.0)).alias("organisation"))
+
+
+def metrics(files: DataFrame) -> DataFrame:
+    """Per file in scope the counts that the engines report beside their scores, in one projection."""
+    names = ["imports", "interfaces", "aliases", "generic_components", "generic_interfaces", "any_usage", "return_types", "react_hooks", "function_component"]
+    base = counted(files, "quality", [f"c_{n} " for n in names])
+    return base.select(
+        "file_id", F.col("c_imports").alias("import_count"), F.size(F.split("content", "\n", -1)).cast("long").alias("file_size_lines"), F.col("c_interfaces").alias("interfaces_defined"), F.col("c_aliases").alias("type_aliases_defined"),
+        (F.col("c_generic_components") + F.col("c_generic_interfaces")).alias("generic_usage_count"), F.col("c_any_usage").alias("any_usage_count"), F.col("c_return_types").alias("function_return_types"), F.col("c_react_hooks").alias("hooks_count"),
+        (F.col("c_function_component") > 0).alias("function_component"), F.expr(rules.API).alias("api_route"), F.expr(rules.PAGE).alias("page_component"), F.expr(rules.LAYOUT).alias("layout_component"),
+    )
+
+
+def user_rules(files: DataFrame, emitters: list[tuple], recommendations: list[tuple] = (), base: float = 0.6) -> DataFrame:
+    """file_id, path, score, patterns, recommendations under rules of one's own: the extension point of the engines.
+
+    An emitter is (name, confidence, bonus, SQL of how often it is found) and a
+    recommendation (rule, severity, penalty, SQL of how often it fires); both may use
+    ``path``, ``name`` and ``content``.  The score is the base with bonuses times
+    confidences added and penalties taken off, held to [0, 1].
+    """
+    for kind in (emitters, recommendations):
+        bad = [r[0] for r in kind if len(r) != 4]
+        if bad:
+            raise ValueError(f"rules need four parts: {bad}")
+    gain = " + ".join(f"{e[1]} * {e[2]} * ({e[3]})" for e in emitters) or "0.0"
+    loss = " + ".join(f"{r[2]} * ({r[3]})" for r in recommendations) or "0.0"
+    found = ", ".join(f"named_struct('name', {sql_string(e[0])}, 'times', CAST({e[3]} AS BIGINT))" for e in emitters)
+    fired = ", ".join(f"named_struct('name', {sql_string(r[0])}, 'times', CAST({r[3]} AS BIGINT))" for r in recommendations)
+    none = "CAST(array() AS ARRAY<STRUCT<name: STRING, times: BIGINT>>)"
+    return files.selectExpr(
+        "file_id", "path", f"CAST(greatest(0.0D, least(1.0D, CAST({base} AS DOUBLE) + {gain} - ({loss}))) AS DOUBLE) AS score",
+        f"filter({f'array({found})' if found else none}, x -> x.times > 0) AS patterns", f"filter({f'array({fired})' if fired else none}, x -> x.times > 0) AS recommendations",
+    )
+
+
+def every_match(files: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """count_name, pattern_no and the columns of ``match_details`` for all patterns of all counts."""
+    out = None
+    for name in names or rules.COUNTS:
+        for i in range(len(rules.COUNTS[name].patterns)):
+            one = match_details(files, name, i).select(F.lit(name).alias("count_name"), F.lit(i).cast("long").alias("pattern_no"), "file_id", "nth", "char_offset", "line_number", "matched_text")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def match_details(files: DataFrame, name: str, pattern: int = 0) -> DataFrame:
+    """file_id, nth, char_offset, line_number, matched_text: every match of one pattern of a count, without a UDF.
 
     The pieces between matches are as many as the matches and one more, so the
     offset of a match is the length of what stands before it.
     """
     spec = rules.COUNTS[name]
-    p = java(spec.patterns[0], spec.flags)
+    p = java(spec.patterns[pattern], spec.flags)
     found = files.where(F.rlike("content", F.lit(p))).select("file_id", "content", F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m"), F.split("content", p, -1).alias("b"))
     rows = found.select("file_id", "content", "m", "b", F.posexplode("m").alias("i", "matched_text"))
     before = F.aggregate(F.slice("b", 1, F.col("i") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("m", 1, F.col("i")), F.lit(0), lambda a, x: a + F.length(x))

@@ -97,6 +97,49 @@ def divergence(index: DataFrame, neighbours: DataFrame) -> DataFrame:
     return mean.join(own, ["query_id", "dim"]).select("query_id", F.col("dim").cast("long").alias("dim"), F.abs(F.col("x").cast("double") - F.col("mean")).alias("diff"))
 
 
+def divergence_summary(index: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """query_id, mean_difference, cosine: a vector against the mean of its neighbours' normalised vectors; 1 and 0 without neighbours."""
+    v = index.select("ref_id", unit(F.col("embedding")).alias("v"))
+    mean = neighbours.join(v, "ref_id").select("query_id", F.posexplode("v").alias("dim", "x")).groupBy("query_id", "dim").agg(F.avg("x").alias("mean"))
+    own = index.select(F.col("ref_id").alias("query_id"), F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    g = own.join(mean, ["query_id", "dim"], "left").groupBy("query_id").agg(F.avg(F.abs(F.col("x") - F.col("mean"))).alias("d"), F.sum(F.col("x") * F.col("mean")).alias("dp"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("a"), F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("b"))
+    return g.select("query_id", F.coalesce("d", F.lit(1.0)).alias("mean_difference"), F.coalesce(F.col("dp") / (F.col("a") * F.col("b") + 1e-9), F.lit(0.0)).alias("cosine"))
+
+
+def payload(index: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """query_id, vector (as it is), references (rank, ref_id, normalised vector): what an explanation of a score shows."""
+    refs = neighbours.join(index.select("ref_id", unit(F.col("embedding")).alias("v")), "ref_id")
+    listed = refs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref_id", "v"))).alias("references"))
+    return listed.join(index.select(F.col("ref_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+
+def adherence(scored: DataFrame, classified: DataFrame) -> DataFrame:
+    """The adherence of each query: similarity of patterns, domain adherence, confidence and quality of the domain match.
+
+    ``scored`` comes from ``adaptive``, ``classified`` from the classification of the
+    queries under file_id.  Overall adherence is the similarity of patterns as it is.
+    """
+    j = scored.join(classified.select(F.col("file_id").alias("query_id"), F.col("confidence").alias("domain_match_quality")), "query_id")
+    confidence = (F.col("domain_match_quality") + F.least(F.lit(1.0), F.col("hits") / 5.0) + F.col("best")) / 3
+    return j.select("query_id", "domain", F.col("score").alias("overall_adherence"), (F.col("domain_match_quality") * 0.5 + F.col("score") * 0.5).alias("domain_adherence"), confidence.alias("confidence"), "hits", "domain_match_quality")
+
+
+def adherence_recommendations(queries: DataFrame, scored: DataFrame, classified: DataFrame) -> DataFrame:
+    """query_id, rule_id, severity, category: what is said of each of ``queries`` (query_id); one without neighbours has adherence 0."""
+    q = queries.select("query_id").join(scored.select("query_id", "score", "hits"), "query_id", "left").fillna(0, ["score", "hits"])
+    q = q.join(classified.select(F.col("file_id").alias("query_id"), "confidence"), "query_id")
+    low = F.when(F.col("score") < 0.4, F.struct(F.lit("LOW_DOMAIN_ADHERENCE").alias("rule_id"), F.when(F.col("score") < 0.25, "error").otherwise("warning").alias("severity"), F.lit("domain_adherence").alias("category")))
+    unclear = F.when(F.col("confidence") < 0.6, F.struct(F.lit("UNCLEAR_DOMAIN_ENHANCED").alias("rule_id"), F.when(F.col("confidence") < 0.3, "error").when(F.col("confidence") < 0.5, "warning").otherwise("info").alias("severity"), F.lit("domain_classification").alias("category")))
+    alone = F.when(F.col("hits") == 0, F.struct(F.lit("NO_SIMILAR_PATTERNS").alias("rule_id"), F.lit("info").alias("severity"), F.lit("pattern_similarity").alias("category")))
+    return q.select("query_id", F.explode(F.filter(F.array(low, unclear, alone), lambda x: x.isNotNull())).alias("x")).select("query_id", "x.*")
+
+
+def adherence_patterns(scored: DataFrame, neighbours: DataFrame, classified: DataFrame) -> DataFrame:
+    """query_id, pattern_name, confidence: the domain adherence of each query and its three nearest patterns."""
+    own = adherence(scored, classified).join(classified.select(F.col("file_id").alias("query_id"), F.col("domain").alias("d")), "query_id")
+    return own.select("query_id", F.concat(F.lit("domain_adherence_"), "d").alias("pattern_name"), "confidence").unionByName(neighbours.where("rank <= 3").select("query_id", F.concat(F.lit("similar_pattern_"), F.col("rank").cast("string")).alias("pattern_name"), F.col("similarity").alias("confidence")))
+
+
 def index_members(classified: DataFrame, most: int = 1000, least: int = 3) -> DataFrame:
     """The first ``most`` files of each known domain that has at least ``least``, in file order."""
     known = classified.where("domain <> 'unknown'")

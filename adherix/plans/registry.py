@@ -93,6 +93,11 @@ def _code_focused(s: SparkSession, d: str) -> DataFrame:
     return r6(aggregate.code_focused(by_domain(cut(files(s, d))), classify.DOMAIN_IMPORTANCE, ["analyzer"]), "code_focused_score")
 
 
+def _code_focused_overall(s: SparkSession, d: str) -> DataFrame:
+    """One ratio over all rows of engine and file."""
+    return r6(aggregate.code_focused(by_domain(cut(files(s, d))), classify.DOMAIN_IMPORTANCE, []), "code_focused_score")
+
+
 def _patterns_by_type(s: SparkSession, d: str) -> DataFrame:
     f = cut(files(s, d))
     all_ = scan.pattern_matches(f, scan.ANALYZERS[0])
@@ -113,8 +118,7 @@ def _secondaries(s: SparkSession, d: str) -> DataFrame:
 
 
 def _functions(s: SparkSession, d: str) -> DataFrame:
-    whole = files(s, d).where("path LIKE '%.py'")
-    return functions.extract_functions(whole).groupBy("path").agg(F.count("*").alias("chunks"), F.count_if("is_method").alias("methods"), F.sum(F.length("code")).alias("chars"))
+    return functions.extract_functions(files(s, d)).groupBy("path").agg(F.count("*").alias("chunks"), F.count_if("is_method").alias("methods"), F.sum(F.length("code")).alias("chars"))
 
 
 def _embedded(s: SparkSession, d: str) -> DataFrame:
@@ -124,6 +128,88 @@ def _embedded(s: SparkSession, d: str) -> DataFrame:
     return r6(similarity.knn(i.where("ref_id % 50 = 0").withColumnRenamed("ref_id", "query_id"), i), "similarity")
 
 
+def pattern_files(s: SparkSession, d: str) -> DataFrame:
+    """The snippets of the similarity index as files, under their ref_id."""
+    raw = table(s, d, "pattern_index").where("ref_id IS NOT NULL").select("ref_id", "ref_ord", "file_path", "snippet")
+    return scan.as_files(latest(raw, ["ref_id"], ["ref_ord"], ["file_path", "snippet"]), "ref_id", "file_path", "snippet")
+
+
+def _judged(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Usable vectors, the neighbours of the queries, their adaptive scores and the classification of their snippets."""
+    n = cut(knn(s, d))
+    return index(s, d), n, similarity.adaptive(n), cut(classify.classify(pattern_files(s, d)))
+
+
+def _adherence_metrics(s: SparkSession, d: str) -> DataFrame:
+    _, _, scores, c = _judged(s, d)
+    return r6(similarity.adherence(scores, c), "overall_adherence", "domain_adherence", "confidence", "domain_match_quality")
+
+
+def _adherence_recommendations(s: SparkSession, d: str) -> DataFrame:
+    i, _, scores, c = _judged(s, d)
+    return similarity.adherence_recommendations(i.where("ref_id % 50 = 0").select(F.col("ref_id").alias("query_id")), scores, c).drop("category")
+
+
+def _adherence_patterns(s: SparkSession, d: str) -> DataFrame:
+    _, n, scores, c = _judged(s, d)
+    return r6(similarity.adherence_patterns(scores, n, c), "confidence")
+
+
+def _divergence_summary(s: SparkSession, d: str) -> DataFrame:
+    i = cut(index(s, d).select("ref_id", "domain", "embedding"))
+    q = i.where("ref_id % 50 = 0")
+    n = similarity.knn(q.withColumnRenamed("ref_id", "query_id"), i)
+    return r6(similarity.divergence_summary(i, n).join(q.select(F.col("ref_id").alias("query_id")), "query_id"), "mean_difference", "cosine")
+
+
+def _payload(s: SparkSession, d: str) -> DataFrame:
+    i = cut(index(s, d).select("ref_id", "domain", "embedding"))
+    n = similarity.knn(i.where("ref_id % 50 = 0").withColumnRenamed("ref_id", "query_id"), i)
+    own = F.transform("vector", lambda x: x.cast("double"))
+    total = F.aggregate(F.transform("references", lambda r: similarity.dot(own, r["v"])), F.lit(0.0), lambda a, x: a + x)
+    return similarity.payload(i, n).select("query_id", F.size("references").cast("long").alias("refs"), F.round(total, 4).alias("checksum"))
+
+
+def _top_issues(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d))
+    return report.top_issues(cut(report.feedback(every_recommendation(f))), classify.classify(f))
+
+
+def _roll_up(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d))
+    patterns = scan.pattern_matches(f, scan.ANALYZERS[0])
+    for a in scan.ANALYZERS[1:]:
+        patterns = patterns.unionByName(scan.pattern_matches(f, a))
+    rolled = report.roll_up(rounded_scores(f), patterns, every_recommendation(f))
+    total = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, x: a + x)
+    return rolled.select("file_id", F.size("scores").cast("long").alias("engines"), F.round(total, 5).alias("total"), "patterns_count", "recommendations_count")
+
+
+def _negative_mix(s: SparkSession, d: str) -> DataFrame:
+    rows = index(s, d).select(F.col("ref_id").alias("id"), "domain").join(pattern_files(s, d).select(F.col("file_id").alias("id"), "content"), "id")
+    return training.negatives(rows).select("anchor_id", "other_id", "pair_type", F.md5("corrupted").alias("digest"))
+
+
+def _triplets(s: SparkSession, d: str) -> DataFrame:
+    rows = cut(index(s, d).select(F.col("ref_id").alias("id"), "domain"))
+    return training.triplets(training.positive_pairs(rows), cut(training.cross_domain_negatives(rows)))
+
+
+def _masked(s: SparkSession, d: str) -> DataFrame:
+    one = latest(table(s, d, "pairs").where("anchor IS NOT NULL AND pair_id IS NOT NULL").select("pair_id", "ingested_at", "anchor"), ["pair_id"], ["ingested_at", "anchor"], ["anchor"])
+    ids = F.transform(F.regexp_extract_all("anchor", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(30000)))
+    m = training.mask_tokens(one.select("pair_id", ids.alias("t")), "pair_id", "t", 103, 30000, (0,))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    chosen = F.size(F.filter("labels", lambda x: x != -100))
+    return m.where(F.size("t") > 0).select("pair_id", F.size("t").cast("long").alias("tokens"), chosen.cast("long").alias("chosen"), add("input_ids").alias("input_sum"), add("labels").alias("label_sum"))
+
+
+def _statistics(s: SparkSession, d: str) -> DataFrame:
+    names = ["mean", "median", "std", "low", "high", "range"]
+    six = {c: F.round(F.col(c).cast("decimal(18,9)"), 6).cast("double") for c in names}
+    return aggregate.aggregate(dims(s, d), ["query_id"]).select("query_id", "n", *names).withColumns(six)
+
+
 def _filters(f: DataFrame) -> DataFrame:
     return f.select("file_id", F.col("path").rlike(r"__pycache__|\.git|node_modules|\.venv|dist|build|\.next").alias("excluded"), F.lower("path").rlike(r"test_|_test\.|\.test\.|spec_|_spec\.|\.spec\.").alias("is_test"), F.col("path").rlike(r"\.generated\.|_generated\.|\.d\.ts").alias("is_generated"))
 
@@ -142,7 +228,23 @@ def queries() -> dict[str, Query]:
         "import_lines": lambda s, d: scan.import_lines(files(s, d)),
         "import_grouping": lambda s, d: r6(scan.import_grouping(files(s, d)), "organisation"),
         "lines_and_nesting": lambda s, d: scan.complexity(files(s, d)).select("file_id", "lines", "nesting"),
-        "complexity": lambda s, d: scan.complexity(files(s, d)),
+        "import_organisation": lambda s, d: r6(scan.import_organisation(files(s, d)), "organisation"),
+        "file_metrics": lambda s, d: scan.metrics(files(s, d)),
+        "complexity": lambda s, d: r6(scan.complexity(files(s, d)), "mean_length"),
+        "every_match": lambda s, d: scan.every_match(cut(files(s, d))).groupBy("count_name", "pattern_no").agg(F.count("*").alias("matches"), F.count_distinct("file_id").alias("files"), F.sum("char_offset").alias("offsets"), F.sum("line_number").alias("line_numbers")),
+        "classifier_recommendations": lambda s, d: classify.recommendations(classify.classify(files(s, d))).drop("category"),
+        "domain_diagnostics": lambda s, d: r6(classify.diagnostics(files(s, d)).select("file_id", "domain", "category", F.size("matched").cast("long").alias("matched"), "score"), "score"),
+        "missing_patterns": lambda s, d: classify.missing_summary(classify.diagnostics(files(s, d))).groupBy("domain", "missing").agg(F.count("*").alias("files")),
+        "adherence_metrics": _adherence_metrics,
+        "adherence_recommendations": _adherence_recommendations,
+        "adherence_patterns": _adherence_patterns,
+        "divergence_summary": _divergence_summary,
+        "embedding_payload": _payload,
+        "top_issues": _top_issues,
+        "file_roll_up": _roll_up,
+        "negative_mix": _negative_mix,
+        "training_triplets": _triplets,
+        "masked_tokens": _masked,
         "match_details": lambda s, d: scan.match_details(files(s, d), "type_guards"),
         "domain_signals": _signals,
         "domain_classification": lambda s, d: r6(classify.classify(files(s, d)).select("file_id", "domain", "confidence"), "confidence"),
@@ -162,7 +264,7 @@ def queries() -> dict[str, Query]:
         "extracted_functions": _functions,
         "weighted_means": lambda s, d: r6(agg(s, d).select("query_id", *aggregate.METHODS), *aggregate.METHODS),
         "score_confidence": lambda s, d: r6(agg(s, d).select("query_id", "confidence"), "confidence"),
-        "score_statistics": lambda s, d: r6(agg(s, d).select("query_id", "n", "mean", "median", "std", "low", "high", "range"), "mean", "median", "std", "low", "high", "range"),
+        "score_statistics": _statistics,
         "importance": lambda s, d: r6(aggregate.importance(dims(s, d), ["query_id"]).drop("contribution"), "importance"),
         "score_bands": lambda s, d: scored(s, d).groupBy(aggregate.band("score").alias("band")).agg(F.count("*").alias("n")),
         "domain_breakdown": lambda s, d: r6(aggregate.domain_breakdown(scored(s, d)), "mean", "low", "high"),
@@ -171,9 +273,11 @@ def queries() -> dict[str, Query]:
         "quality_gate": lambda s, d: report.gate(scored(s, d), 0.7).groupBy("domain").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed")),
         "dimension_means": lambda s, d: r6(aggregate.dimension_mean(by_domain(cut(files(s, d)))), "score"),
         "code_focused": _code_focused,
+        "code_focused_overall": _code_focused_overall,
         "patterns_by_type": _patterns_by_type,
         "file_level_pivot": lambda s, d: rounded_scores(cut(files(s, d))).groupBy("file_id").pivot("analyzer", list(scan.ANALYZERS)).agg(F.max("score")),
-        "feedback": lambda s, d: report.feedback(every_recommendation(cut(files(s, d)))).select("file_id", "analyzer", "rule_id", "severity", "category", "place"),
+        "feedback": lambda s, d: report.feedback(every_recommendation(cut(files(s, d))), 3).select("file_id", "analyzer", "rule_id", "severity", "category", "place"),
+        "feedback_full": lambda s, d: report.feedback(every_recommendation(cut(files(s, d)))).select("file_id", "analyzer", "rule_id", "severity", "category", "place"),
         "compare_repos": _compare,
         "commit_metadata": lambda s, d: history.commits(table(s, d, "commits")).select("commit_id", "repo", "author", "message", F.size("parent_ids").cast("long").alias("parents"), F.col("insertions").cast("long").alias("insertions"), F.col("deletions").cast("long").alias("deletions")),
         "parent_commits": lambda s, d: history.resolve_parent(table(s, d, "commits")),
@@ -182,7 +286,7 @@ def queries() -> dict[str, Query]:
         "training_samples": lambda s, d: training.samples(files(s, d)).select("file_id", F.length("content").cast("long").alias("chars")),
         "positive_pairs": lambda s, d: training.positive_pairs(index(s, d).select(F.col("ref_id").alias("id"), "domain")),
         "negative_pairs": lambda s, d: training.cross_domain_negatives(index(s, d).select(F.col("ref_id").alias("id"), "domain")),
-        "corrupted_code": lambda s, d: files(s, d).where("content <> ''").select("file_id", F.md5(training.corrupt(F.col("content"))).alias("digest")),
+        "corrupted_code": lambda s, d: files(s, d).where("content <> ''").select("file_id", F.md5(training.corrupt(F.col("content"), "file_id")).alias("digest")),
         "triplet_split": lambda s, d: training.split(table(s, d, "pairs").select("pair_id").distinct(), "pair_id").groupBy("split").agg(F.count("*").alias("n")),
         "infonce_loss": lambda s, d: r6(training.infonce(near(s, d).groupBy("query_id").agg(F.max("similarity").alias("positive"), F.min("similarity").alias("negative"), F.count("*").alias("k")).where("k > 1")), "loss"),
         "token_budget": lambda s, d: files(s, d).select("file_id", F.regexp_count("content", F.lit(r"\w+|[^\w\s]")).cast("long").alias("tokens")).where("tokens <= 2048"),

@@ -27,6 +27,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp" if os.path.isdir("/tmp") else None)
     sc.setCheckpointDir(folder)
     return folder
@@ -47,11 +49,16 @@ def broadcast_below(df: DataFrame, rows: int, row_bytes: int, limit: int = BROAD
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+#: Inputs above this many bytes (of the scan, as Spark estimates them) are never spread.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan in fewer partitions than there are cores, spread over them; any other frame as it is.
+    """A small scan in fewer partitions than there are cores, spread over them; any other frame as it is.
 
-    A file of one row group is one task however long its rows take.  So few scan
-    partitions bound the rows moved; larger inputs are never shuffled here.
+    A file of one row group is one task however long its rows take.  Only inputs below
+    ``SPREAD_BYTES`` are shuffled, so the cost is bounded whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() * 2 <= cores else df

@@ -172,4 +172,51 @@ def test_roll_ups_hold_all_four_engines(spark, tmp_path):
     for r in q["feedback"](spark, d).orderBy("place").collect():
         got.setdefault(r["file_id"], []).append((rank[r["severity"]], r["category"], r["analyzer"], r["rule_id"]))
     assert got == {k: sorted(v)[:3] for k, v in want.items()}
-    assert (1, "error_handling", "quality", "MISSING_ASYNC_ERROR_HANDLING") in got[1]
+    assert (1, "async_error_handling", "quality", "MISSING_ASYNC_ERROR_HANDLING") in got[1]
+
+
+def test_corruptions_one_by_one(spark):
+    from adherix.operators import training
+
+    code = 'const myName = "a"; call(myName, XmlHttp, get2Items);\nconst b = 1'
+    df = spark.createDataFrame([(i, code) for i in range(400)] + [(1000 + i, "a\nb") for i in range(60)], "id long, c string")
+    got = {r["id"]: r["x"] for r in df.select("id", training.corrupt(F.col("c"), "id").alias("x")).collect()}
+    snake = code.replace("myName", "my_name")
+    assert spark.createDataFrame([(code,)], "c string").select(training.snake_case(F.col("c")).alias("x")).first()["x"] == snake
+    kinds = [sum("my_name" in got[i] for i in range(400)), sum(";" not in got[i] for i in range(400)), sum("var" in got[i] for i in range(400)), sum('"' not in got[i] for i in range(400))]
+    assert all(80 <= n <= 160 for n in kinds)  # each with a probability of 0.3
+    assert {got[1000 + i] for i in range(60)} == {"a\nb", "a;\nb"}  # none to leave out, so they are added
+    assert sum(got[i] == code for i in range(400)) > 50
+
+
+def test_negatives_triplets_and_masks(spark):
+    from adherix.operators import training
+
+    rows = spark.createDataFrame([(i, "abc"[i % 7 % 3], "const value = fetchAll();\n" * 4) for i in range(210)], "id long, domain string, content string")
+    neg = training.negatives(rows).collect()
+    domain = {i: "abc"[i % 7 % 3] for i in range(210)}
+    assert sorted(r["anchor_id"] for r in neg) == list(range(210))
+    styled = [r for r in neg if r["pair_type"] == "synthetic_corruption"]
+    assert 40 <= len(styled) <= 85 and all(r["anchor_id"] == r["other_id"] for r in styled)
+    assert all(domain[r["anchor_id"]] != domain[r["other_id"]] for r in neg if r["corrupted"] is None)
+    pos = training.positive_pairs(rows.select("id", "domain"))
+    tri = training.triplets(pos, training.cross_domain_negatives(rows.select("id", "domain"))).collect()
+    assert len(tri) == 630 and len({r["negative_id"] for r in tri}) > 60
+    tokens = spark.createDataFrame([(i, list(range(200))) for i in range(30)] + [(99, None), (98, [])], "k long, t array<long>")
+    out = {r["k"]: (r["input_ids"], r["labels"]) for r in training.mask_tokens(tokens, "k", "t", 1000, 1000, (0,)).collect()}
+    assert out[99] == (None, None) and out[98] == ([], [])
+    chosen = [(i, x, y) for k in range(30) for i, (x, y) in enumerate(zip(*out[k])) if y != -100]
+    assert all(y == i for i, _, y in chosen) and not any(i == 0 for i, _, _ in chosen)
+    assert all(x == i for k in range(30) for i, (x, y) in enumerate(zip(*out[k])) if y == -100)
+    assert 0.12 < len(chosen) / 5970 < 0.18 and 0.74 < sum(x == 1000 for _, x, _ in chosen) / len(chosen) < 0.86
+
+
+def test_weights_are_checked():
+    import pytest
+
+    from adherix.operators import aggregate
+
+    aggregate.check_weights({"a": 0.5, "b": 0.5}, {"a": 1.0}, "weighted_average")
+    for bad in (({"a": 0.5},), ({"a": 1.5, "b": -0.5},), ({"a": 1.0}, {"a": 2.0}), ({"a": 1.0}, None, "no")):
+        with pytest.raises(ValueError):
+            aggregate.check_weights(*bad)

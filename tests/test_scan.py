@@ -124,3 +124,38 @@ def test_streaming_scan(spark, tmp_path):
     q = scan.recommendations(stream, "typescript").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["rule_id"] for r in spark.read.parquet(out).collect()] == ["AVOID_ANY_TYPE"]
+
+
+def test_rules_by_hand(spark):
+    """Expected rows worked out from the conditions of the rules, not from their tables."""
+    deep = "import a from 'x';\nimport b from '../../../y';\nimport c from '@/z';\n"
+    effect = "useEffect(() => {\n  load(a, b, c, d);\n}, [a])\nuseEffect(() => { f(x) }, [x])\n"
+    rows = [(0, "src/app/[id]/page.tsx", "import a from 'x';\nimport b from '@/y';\nimport c from './z';\n"), (1, "src/lib/d.ts", deep), (2, "src/lib/e.ts", effect), (3, "src/app/api/q/route.ts", ""), (4, "src/lib/f.ts", "import a from 'x';\n")]
+    f = scan.as_files(spark.createDataFrame(rows, "k long, p string, c string"), "k", "p", "c")
+    found = {(r["file_id"], r["pattern_name"]): r["matches"] for r in scan.pattern_matches(f, "architectural").collect()}
+    assert found[0, "nextjs_app_router_structure"] == 2 and found[3, "nextjs_app_router_structure"] == 1
+    assert (0, "absolute_imports") in found and (0, "grouped_imports") in found and (1, "grouped_imports") not in found and (4, "grouped_imports") in found
+    said = {(r["file_id"], r["rule_id"], r["severity"], r["category"]) for r in scan.recommendations(f, "architectural").collect()}
+    assert (1, "PREFER_ABSOLUTE_IMPORTS", "warning", "import_organization") in said and (1, "GROUP_IMPORTS", "info", "import_organization") in said
+    assert not [x for x in said if x[0] in (0, 4) and x[1] in ("GROUP_IMPORTS", "PREFER_ABSOLUTE_IMPORTS")]
+    score = {r["file_id"]: r["score"] for r in scan.scores(f, "architectural").collect()}
+    assert abs(score[1] - (0.6 + 0.1 * 0.9 - 0.05 - 0.02)) < 1e-9 and abs(score[4] - (0.6 + 0.05 * 0.8)) < 1e-9
+    times = {r["file_id"]: r["times"] for r in scan.recommendations(f, "framework").where("rule_id = 'REVIEW_EFFECT_DEPENDENCIES'").collect()}
+    assert times == {2: 1}  # five names against one listed and two to spare; f and x against x are not too many
+
+
+def test_user_rules(spark):
+    f = scan.as_files(spark.createDataFrame([(1, "a/b.ts", "todo todo"), (2, "a/c.ts", "")], "k long, p string, c string"), "k", "p", "c")
+    got = {r["file_id"]: r for r in scan.user_rules(f, [("typed", 0.5, 0.2, "CASE WHEN path LIKE '%.ts' THEN 1 ELSE 0 END")], [("NO_TODO", "info", 0.1, "regexp_count(content, 'todo')")], base=0.5).collect()}
+    assert abs(got[1]["score"] - 0.4) < 1e-9 and abs(got[2]["score"] - 0.6) < 1e-9
+    assert [tuple(x) for x in got[1]["recommendations"]] == [("NO_TODO", 2)] and got[2]["recommendations"] == []
+    with pytest.raises(ValueError):
+        scan.user_rules(f, [("short", 1.0)])
+
+
+def test_every_match_follows_python(spark):
+    f = scan.as_files(spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(TEXTS)], "k long, p string, c string"), "k", "p", "c")
+    names = ["react_hooks", "api_types", "typed_parameters"]
+    got = sorted((r["count_name"], r["pattern_no"], r["file_id"], r["char_offset"], r["matched_text"]) for r in scan.every_match(f, names).collect())
+    want = sorted((n, i, k, m.start(), m[0]) for n in names for i, p in enumerate(rules.COUNTS[n].patterns) for k, (_, c) in enumerate(TEXTS) for m in re.finditer(p, c))
+    assert got == want and got
