@@ -9,11 +9,14 @@ of texts above ``LEAST_OVERLAP`` are checked word by word.
 Distinct texts are compared, never their occurrences, so an anchor that recurs in
 a third of the records counts once.  Frequent digests are left out of the join by
 prefix filtering: of each text the most frequent chunks, up to less than
-``LEAST_OVERLAP`` of its length, make no candidates, which loses no pair.
+``LEAST_OVERLAP`` of its length, make no candidates, which loses no pair.  What is
+left of a frequent digest is joined within length bands, as texts of too different
+lengths are no case, and split by salt, so boilerplate never meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 from adherix.session import broadcast_below, cut
 
 DENSITY = 4
-LEAST_OVERLAP = 0.2
+#: Shared share of the longer text below which the words of two texts are not compared.
+LEAST_OVERLAP = 0.1
+#: Texts of one digest and length band that are joined in one task.
+SHARE = 2000
 #: Largest share of words that may differ: between the tenth of a case and the third of a text that is none.
 MOST_DIFFERENT = 0.2
 
@@ -164,15 +170,26 @@ def _near_texts(pairs: DataFrame, texts: DataFrame, least: float, most_different
     shared = rows.join(used, "digest")
     w = Window.partitionBy("tid").orderBy(F.desc("df"), F.desc("digest")).rowsBetween(Window.unboundedPreceding, 0)
     prefix = shared.withColumn("_sum", F.sum("length").over(w)).where(F.col("_sum") >= least * F.col("n_words")).select("digest", "tid", "in_train", "in_eval", "n_words")
-    e = prefix.where("in_eval").select("digest", F.col("tid").alias("tid_e"), F.col("n_words").alias("n_e"))
-    t = prefix.where("in_train").select("digest", F.col("tid").alias("tid_t"), F.col("n_words").alias("n_t"))
+    # bands grow by the ratio of lengths that may still be near, so a text meets its own band and the next ones
+    band = F.floor(F.ln(F.greatest(F.lit(1), F.col("n_words"))) / -math.log(1 - most_different)).cast("int")
+    banded = cut(prefix.withColumn("band", band))
+    hot = cut(banded.where("in_train").groupBy("digest", "band").count().where(F.col("count") > SHARE).select("digest", "band", F.ceil(F.col("count") / SHARE).cast("int").alias("salts")))
+    hot = broadcast_below(hot, hot.count(), 32)
+    salts = F.coalesce("salts", F.lit(1))
+    e = banded.where("in_eval").select("digest", F.col("tid").alias("tid_e"), F.col("n_words").alias("n_e"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    e = e.join(hot, ["digest", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    t = banded.where("in_train").select("digest", "band", F.col("tid").alias("tid_t"), F.col("n_words").alias("n_t"))
+    t = t.join(hot, ["digest", "band"], "left").withColumn("salt", F.pmod(F.xxhash64("tid_t"), salts).cast("int")).drop("salts")
     # texts whose lengths differ by more than the words that may differ are no case
     near_length = (F.least("n_e", "n_t") >= (1 - most_different) * F.greatest("n_e", "n_t")) & (F.col("tid_e") != F.col("tid_t"))
-    candidates = e.join(t, "digest").where(near_length).select("tid_e", "tid_t").distinct()
+    candidates = e.join(t, ["digest", "band", "salt"]).where(near_length).select("tid_e", "tid_t").distinct()
     held = one.select("tid", "digests", "lengths", "n_words", "at")
     joined = candidates.join(held.toDF("tid_e", "d_e", "l_e", "n_e", "at_e"), "tid_e").join(held.toDF("tid_t", "d_t", "l_t", "n_t", "at_t"), "tid_t")
-    common = F.aggregate(F.filter(F.arrays_zip("d_e", "l_e"), lambda x: F.array_contains(F.col("d_t"), x["d_e"])), F.lit(0), lambda a, x: a + x["l_e"])
-    over = cut(joined.select("tid_e", "tid_t", "at_e", "at_t", (common / F.greatest("n_e", "n_t")).alias("overlap")).where(F.col("overlap") >= least))
+    # a chunk's length goes with its digest into one number, so the intersection is hashed and brings the lengths along
+    packed = lambda d, n: F.zip_with(d, n, lambda x, y: F.shiftleft(x, 20).bitwiseOR(y.cast("long")))
+    common = F.aggregate(F.array_intersect(packed("d_e", "l_e"), packed("d_t", "l_t")), F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit((1 << 20) - 1)))
+    over = joined.select("tid_e", "tid_t", "at_e", "at_t", (common / F.greatest("n_e", "n_t")).alias("overlap"))
+    over = cut(over.where(F.col("overlap") >= least))
 
     places = over.select(F.col("at_e").alias("at")).union(over.select("at_t")).distinct()
     n = places.count()

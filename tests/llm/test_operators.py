@@ -73,6 +73,18 @@ def test_p1_hot_anchor(spark):
     assert got == {(3, 100)}
 
 
+def test_p1_short_texts_with_scattered_changes_and_boilerplate(spark, monkeypatch):
+    monkeypatch.setattr(p1_overlap, "SHARE", 10)
+    rng = random.Random(15)
+    head = "\n".join(f"import {{ alpha{i}, beta{i} }} from 'lib{i}';" for i in range(6)) + "\n"  # a third of every text
+    texts = [(head + code(rng, 48), head + code(rng, 48)) for _ in range(90)]
+    rows = [(i, "train", "s", a, c) for i, (a, c) in enumerate(texts)]
+    scattered = lambda x: change(x, 0.09, rng)
+    rows += [(1000 + i, "test", "t", scattered(a), scattered(c)) for i, (a, c) in enumerate(texts[:60])]
+    got = {(r[0], r[1]) for r in p1_overlap.found(frame(spark, PAIRS, rows)).collect()}
+    assert got == {(i, 1000 + i) for i in range(60)}
+
+
 def test_p1_words_leave_out_comments_and_layout():
     assert p1_overlap.words("a = 'b // c' # d\n/* e */ f(1.5) // g\n") == ["a", "b", "c", "f", "1", "5"]
     assert p1_overlap.words("") == []
