@@ -31,7 +31,7 @@ from adherix.session import broadcast_below, cut
 
 DENSITY = 4
 #: Shared share of the longer text below which the words of two texts are not compared.
-LEAST_OVERLAP = 0.04
+LEAST_OVERLAP = 0.1
 #: Texts of one digest and length band that are joined in one task.
 SHARE = 2000
 #: Largest share of words that may differ: between the tenth of a case and the third of a text that is none.
