@@ -60,5 +60,5 @@ def spread(df: DataFrame) -> DataFrame:
     ``SPREAD_BYTES`` are shuffled, so the cost is bounded whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() * 2 <= cores else df
