@@ -31,7 +31,8 @@ def states(kind: str) -> tuple[str, ...]:
     return (CODE, *_LONG[kind], *(() if kind == "py" else ("/*",)))
 
 
-def _run(text: str, kind: str, state: str) -> tuple[str, str, str] | None:
+def run(text: str, kind: str, state: str) -> tuple[str, str, str] | None:
+    """State, closing and opening brackets after a piece entered in ``state``; None where brackets cross."""
     at, brackets = 0, []
     long_marks = states(kind)
     while True:
@@ -57,7 +58,7 @@ def _run(text: str, kind: str, state: str) -> tuple[str, str, str] | None:
 
 def piece_map(text: str, kind: str) -> Map:
     """The map of a piece of whole lines."""
-    return {s: _run(text, kind, s) for s in states(kind)}
+    return {s: run(text, kind, s) for s in states(kind)}
 
 
 def compose(a: Map, b: Map) -> Map:

@@ -203,6 +203,20 @@ def test_p4_files_and_rates(spark):
     assert {r["chunk_id"] for r in p4_syntax.valid_rows(df).collect()} == {4, 5, 6, 7, 8}
 
 
+def test_p4_maps_are_composed_by_spark(spark, monkeypatch):
+    from adherix.llm.grammar import states
+
+    rng = random.Random(21)
+    lines = ["f(a, [1, 2])", "x = {", "}", "(", ")", "[", "]", "/* open", "close */", "`raw {", "end`", "s := \"((\"", "// ((", "y"]
+    texts = ["\n".join(rng.choices(lines, k=rng.randrange(1, 400))) for _ in range(120)] + ["func f() {\n" + "  g(`a\n(`)\n" * 2000 + "}\n", "func f() {\n" + "  g(1)\n" * 4000]
+    rows = [(i, "r", f"{i}.go", i, "go", False, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:5], "key long, repo string, file_path string, chunk_id long, kind string, is_method boolean, function_code string")
+    monkeypatch.setattr(p4_syntax, "PIECE", 200)
+    read = df.mapInPandas(p4_syntax._judge, "key long, repo string, file_path string, chunk_id long, kind string, reason string, piece int, exits array<int>, closing array<string>, opening array<string>")
+    got = {r["key"] for r in p4_syntax.unbalanced(read.where("piece IS NOT NULL")).collect()}
+    assert got == {i for i, t in enumerate(texts) if not states.balanced(t, "go", 10**9)} and 120 not in got and 121 in got
+
+
 # problem 5
 def vectors(n, seed=2):
     rng = np.random.default_rng(seed)
