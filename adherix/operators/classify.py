@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adherix.functions import domain_patterns as dp
@@ -37,27 +37,30 @@ def _hits(files: DataFrame) -> DataFrame:
     return files.withColumn("low", F.lower("content")).select("file_id", "path", *cols)
 
 
-def signals(files: DataFrame) -> DataFrame:
-    """file_id, path, domain, ord, path_score, import_score, content_score, combined: a row per file and domain."""
-    zero = F.lit(0.0)
+def _scored(files: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """file_id, path and the scores of the domains, and for each domain the struct of domain, ord, path_score, import_score, content_score, combined."""
 
     def share(prefix: str, table: dict, weights: dict, d: str, times: int) -> Column:
         if d not in table:
-            return zero
+            return F.lit(0.0)
         n = len(table[d])
         hits = F.aggregate(F.array(*[F.col(f"{prefix}_{d}_{i}") for i in range(n)]), F.lit(0), lambda a, x: a + x)
         return F.least(F.lit(1.0), hits / float(times * n) * weights[d])
 
-    rows = [F.struct(F.lit(d).alias("domain"), F.lit(n).alias("ord"), F.col(f"r_{d}").alias("r"), share("i", dp.IMPORTS, IMPORT_WEIGHT, d, 1).alias("i"), share("c", dp.CONTENT, CONTENT_WEIGHT, d, 3).alias("c")) for n, d in enumerate(DOMAINS)]
-    most = F.greatest(*[F.col(f"r_{d}") for d in DOMAINS])
-    long = _hits(files).select("file_id", "path", most.alias("most"), F.explode(F.array(*rows)).alias("x"))
-    scored = long.select("file_id", "path", "x.domain", "x.ord", F.when(F.col("most") > 0, F.col("x.r") / F.col("most")).otherwise(0.0).alias("path_score"), F.col("x.i").alias("import_score"), F.col("x.c").alias("content_score"))
-    return scored.withColumn("combined", F.col("path_score") * 0.4 + F.col("import_score") * 0.3 + F.col("content_score") * 0.3)
+    hits = _hits(files).withColumn("most", F.greatest(*[F.col(f"r_{d}") for d in DOMAINS]))
+    cols, rows = [], []
+    for n, d in enumerate(DOMAINS):
+        path = F.when(F.col("most") > 0, F.col(f"r_{d}") / F.col("most")).otherwise(0.0)
+        cols += [path.alias(f"p_{d}"), share("i", dp.IMPORTS, IMPORT_WEIGHT, d, 1).alias(f"i_{d}"), share("c", dp.CONTENT, CONTENT_WEIGHT, d, 3).alias(f"c_{d}")]
+        p, i, c = (F.col(f"{x}_{d}") for x in "pic")
+        rows.append(F.struct(F.lit(d).alias("domain"), F.lit(n).alias("ord"), p.alias("path_score"), i.alias("import_score"), c.alias("content_score"), (p * 0.4 + i * 0.3 + c * 0.3).alias("combined")))
+    return hits.select("file_id", "path", *cols), rows
 
 
-def _ranked(files: DataFrame) -> DataFrame:
-    w = Window.partitionBy("file_id").orderBy(F.desc("combined"), "ord")
-    return signals(files).withColumn("place", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("combined").over(w), F.lit(0.0)))
+def signals(files: DataFrame) -> DataFrame:
+    """file_id, path, domain, ord, path_score, import_score, content_score, combined: a row per file and domain."""
+    scored, rows = _scored(files)
+    return scored.select("file_id", "path", F.explode(F.array(*rows)).alias("x")).select("file_id", "path", "x.*")
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -65,22 +68,25 @@ def classify(files: DataFrame) -> DataFrame:
 
     Ties go to the domain named first.  A file without a signal of 0.3 is unknown
     with a confidence of at least 0.5; empty content leaves the path to decide.
-    The seven small rows of a file are ranked by one shuffle on its id.
+    The seven domains of a file are ranked within its row, without a shuffle;
+    repeated rows give repeated results.
     """
-    top, second = F.col("combined"), F.col("second")
-    gate = ((F.col("domain") == "testing") & (top >= 0.35)) | ((top >= 0.3) & (top - second >= 0.05))
-    parts = ("path_score", "import_score", "content_score")
-    n1 = sum(((F.col(c) > 0.1).cast("int") for c in parts), F.lit(0))
-    n15 = sum(((F.col(c) >= 0.15).cast("int") for c in parts), F.lit(0))
-    n2 = sum(((F.col(c) >= 0.2).cast("int") for c in parts), F.lit(0))
+    scored, rows = _scored(files)
+    ordered = F.array_sort(F.array(*[F.struct((-r["combined"]).alias("o"), r["ord"].alias("n"), r.alias("x")) for r in rows]))
+    # a generator of one row: the ranking is worked out once, however often it is used below
+    best = scored.select("file_id", "path", F.inline(F.array(F.struct(ordered.alias("ranked")))))
+    one, two = F.get("ranked", F.lit(0))["x"], F.get("ranked", F.lit(1))["x"]
+    top = one["combined"]
+    gate = ((one["domain"] == "testing") & (top >= 0.35)) | ((top >= 0.3) & (top - two["combined"] >= 0.05))
+    parts = [one[c] for c in ("path_score", "import_score", "content_score")]
+    n1, n15, n2 = (sum(((c > low).cast("int") if low == 0.1 else (c >= low).cast("int") for c in parts), F.lit(0)) for low in (0.1, 0.15, 0.2))
     most = F.greatest(*parts)
     factor = F.when(~gate, 1.0).when((most >= 0.8) & (n15 == 1), 2.2).when((n1 >= 2) & (most >= 0.7), F.when(n2 >= 2, 1.8).otherwise(1.5)).when((most >= 0.7) & (n1 == 1), 1.4).otherwise(1.0)
-    ranked = _ranked(files).withColumn("boosted", F.when(F.col("place") == 1, F.least(F.lit(1.0), top * factor)))
-    g = ranked.groupBy("file_id", "path").agg(F.max("boosted").alias("b"), F.max(F.when(F.col("place") == 1, F.col("domain"))).alias("winner"), F.array_sort(F.collect_list(F.when(top > 0.1, F.struct("place", "domain", F.col("combined").alias("score"))))).alias("o"))
+    judged = best.withColumn("b", F.least(F.lit(1.0), top * factor))
     unknown = F.col("b") < 0.3
-    others = F.filter("o", lambda x: unknown | (x["domain"] != F.col("winner")))
-    secondaries = F.transform(F.slice(others, 1, 3), lambda x: F.struct(x["domain"].alias("domain"), x["score"].alias("score")))
-    return g.select("file_id", "path", F.when(unknown, "unknown").otherwise(F.col("winner")).alias("domain"), F.when(unknown, F.greatest(F.lit(0.5), F.col("b"))).otherwise(F.col("b")).alias("confidence"), secondaries.alias("secondaries"))
+    shown = F.filter("ranked", lambda y: y["x"]["combined"] > 0.1)
+    secondaries = F.transform(F.slice(F.when(unknown, shown).otherwise(F.slice(shown, 2, 3)), 1, 3), lambda y: F.struct(y["x"]["domain"].alias("domain"), y["x"]["combined"].alias("score")))
+    return judged.select("file_id", "path", F.when(unknown, "unknown").otherwise(one["domain"]).alias("domain"), F.when(unknown, F.greatest(F.lit(0.5), F.col("b"))).otherwise(F.col("b")).alias("confidence"), secondaries.alias("secondaries"))
 
 
 def recommendations(classified: DataFrame) -> DataFrame:
