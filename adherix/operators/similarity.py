@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adherix.functions import paths
+
 #: Rows of a block of index or query vectors: what one task multiplies at once.
 BLOCK = 4096
 
@@ -83,10 +85,22 @@ def adaptive(neighbours: DataFrame, strong: float = 0.85) -> DataFrame:
     return neighbours.groupBy("query_id", "domain").agg(F.when(best >= strong, best).otherwise(mean).alias("score"), F.count("*").alias("hits"), best.alias("best"))
 
 
-def file_adherence(index: DataFrame, scored: DataFrame) -> DataFrame:
-    """Mean score over the scored functions of each file; 0 where none was scored."""
+def file_adherence(index: DataFrame, scored: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Mean score over the scored functions of each file; where none was scored that of the whole file, else 0.
+
+    ``whole`` holds file_path and score of searches with whole files; of several for a file the best counts.
+    """
     j = index.join(scored.select(F.col("query_id").alias("ref_id"), "score"), "ref_id", "left")
-    return j.groupBy("file_path").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("score"), F.count("*").alias("functions"), F.count("score").alias("scored"))
+    g = j.groupBy("file_path").agg(F.avg("score").alias("score"), F.count("*").alias("functions"), F.count("score").alias("scored"))
+    if whole is not None:
+        g = g.join(whole.groupBy("file_path").agg(F.max("score").alias("_whole")), "file_path", "left").withColumn("score", F.coalesce("score", "_whole")).drop("_whole")
+    return g.withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def best_compatible(neighbours: DataFrame) -> DataFrame:
+    """query_id, ref_file, similarity: the most similar neighbour whose file may be compared with ``query_file``; ties go to the later path."""
+    fit = neighbours.where(paths.compatible(F.col("query_file"), F.col("ref_file")))
+    return fit.groupBy("query_id").agg(F.max_by("ref_file", F.struct("similarity", "ref_file")).alias("ref_file"), F.max("similarity").alias("similarity"))
 
 
 def divergence(index: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adherix.functions import paths
 from adherix.session import broadcast_below
 
 
@@ -22,6 +23,20 @@ def samples(files: DataFrame, least: int = 50) -> DataFrame:
     return files.where((F.length("content") >= least) & (F.trim("content") != ""))
 
 
+def scan(files: DataFrame, classified: DataFrame, tests: bool = False, generated: bool = False, most: int | None = None, longest: int = 512) -> DataFrame:
+    """file_id, path, content, domain, tokens: the code files that training takes, with their domain.
+
+    Excluded folders, tests, generated files, suffixes other than code's and blank
+    files are left out.  ``tokens`` counts words and marks, ``longest`` at most.  With
+    ``most`` the scan ends after so many files in the order of their ids.
+    """
+    path = F.col("path")
+    kept = files.where(~paths.excluded(path, tests, generated, paths.TRAINING_EXCLUDED_NAMES) & paths.in_scope(path, "training") & F.rlike("content", F.lit(r"\S")))
+    tokens = F.least(F.lit(longest), F.regexp_count("content", F.lit(r"\w+|[^\w\s]"))).cast("long")
+    out = kept.join(classified.select("file_id", "domain"), "file_id").select("file_id", "path", "content", "domain", tokens.alias("tokens"))
+    return out if most is None else out.orderBy("file_id").limit(most)
+
+
 def _ranked(rows: DataFrame, seed: int, *more: str) -> DataFrame:
     """id, domain, pos, n: the place of each row in the seeded order of its domain, from 0, and the rows of the domain.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adherix.functions import rules
+from adherix.functions import paths, rules
 from adherix.functions.records import latest
 from adherix.operators import aggregate, classify, functions, history, report, scan, similarity, training
 from adherix.plans import sql
@@ -211,7 +211,18 @@ def _statistics(s: SparkSession, d: str) -> DataFrame:
 
 
 def _filters(f: DataFrame) -> DataFrame:
-    return f.select("file_id", F.col("path").rlike(r"__pycache__|\.git|node_modules|\.venv|dist|build|\.next").alias("excluded"), F.lower("path").rlike(r"test_|_test\.|\.test\.|spec_|_spec\.|\.spec\.").alias("is_test"), F.col("path").rlike(r"\.generated\.|_generated\.|\.d\.ts").alias("is_generated"))
+    return f.select("file_id", F.col("path").rlike(paths.pattern(paths.EXCLUDED_NAMES)).alias("excluded"), F.lower("path").rlike(paths.pattern(paths.TEST_MARKS)).alias("is_test"), F.col("path").rlike(paths.pattern(paths.GENERATED_MARKS)).alias("is_generated"))
+
+
+def _training_scan(s: SparkSession, d: str) -> DataFrame:
+    f = cut(files(s, d))
+    return training.scan(f, classify.classify(f)).select("file_id", "domain", "tokens")
+
+
+def _compatible(s: SparkSession, d: str) -> DataFrame:
+    own = latest(table(s, d, "pattern_index").where("ref_id IS NOT NULL").select("ref_id", "ref_ord", "file_path"), ["ref_id"], ["ref_ord"], ["file_path"])
+    n = near(s, d).join(own.select(F.col("ref_id").cast("string").alias("query_id"), F.col("file_path").alias("query_file")), "query_id")
+    return r6(similarity.best_compatible(n), "similarity")
 
 
 def queries() -> dict[str, Query]:
@@ -224,6 +235,9 @@ def queries() -> dict[str, Query]:
     out |= {
         "file_suffixes": lambda s, d: files(s, d).groupBy(F.regexp_extract("name", r"^.+(\.[^.]+)$", 1).alias("suffix")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")),
         "file_filters": lambda s, d: _filters(files(s, d)),
+        "file_scopes": lambda s, d: files(s, d).select("file_id", *[paths.in_scope(F.col("path"), e).alias(f"{e}_scope") for e in paths.SUFFIXES]),
+        "compatible_match": _compatible,
+        "training_scan": _training_scan,
         "path_kinds": lambda s, d: files(s, d).selectExpr("file_id", f"{rules.COMPONENT} AS component", f"{rules.APP} AS app_router", f"{rules.API} AS api_route", f"{rules.PAGE} AS page", f"{rules.LAYOUT} AS layout"),
         "import_lines": lambda s, d: scan.import_lines(files(s, d)),
         "import_grouping": lambda s, d: r6(scan.import_grouping(files(s, d)), "organisation"),

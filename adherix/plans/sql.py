@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {
         "file_suffixes": f"WITH {FILES} SELECT {ext} AS suffix, count(*) AS n, sum(length(content)) AS chars FROM files GROUP BY ALL",
         "file_filters": f"WITH {FILES} SELECT file_id, regexp_matches(path, '__pycache__|\\.git|node_modules|\\.venv|dist|build|\\.next') AS excluded, regexp_matches(lower(path), 'test_|_test\\.|\\.test\\.|spec_|_spec\\.|\\.spec\\.') AS is_test, regexp_matches(path, '\\.generated\\.|_generated\\.|\\.d\\.ts') AS is_generated FROM files",
+        "file_scopes": f"WITH {FILES}, x AS (SELECT file_id, regexp_extract(path, '[^/\\\\](\\.[^./\\\\]+)$', 1) AS s FROM files) SELECT file_id, s IN ('.ts', '.tsx', '.js', '.jsx') AS default_scope, s IN ('.ts', '.tsx') AS typescript_scope, s IN ('.ts', '.tsx', '.js', '.jsx', '.py', '.sql', '.md', '.mdx', '.json', '.yml', '.yaml', '.css', '.scss', '.less') AS adherence_scope, s IN ('.ts', '.tsx', '.js', '.jsx', '.py', '.sql', '.md', '.mdx', '.json', '.yml', '.yaml', '.css', '.scss', '.less', '.html', '.htm', '.tf', '.dockerfile', '.sh', '.env', '.txt') AS classifier_scope, lower(s) IN ('.ts', '.tsx', '.js', '.jsx', '.py', '.java', '.cpp', '.c', '.h', '.go', '.rs', '.rb', '.php', '.cs', '.sql') AS training_scope FROM x",
         "path_kinds": f"WITH {FILES} SELECT file_id, {rules.COMPONENT} AS component, {rules.APP} AS app_router, {rules.API} AS api_route, {rules.PAGE} AS page, {rules.LAYOUT} AS layout FROM files",
         "import_lines": f"WITH {FILES}, {IMPORT_LINES} SELECT * FROM im",
     }
@@ -226,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
         o AS (SELECT file_id, i, m[i] AS matched_text, content, CAST(list_sum([length(x) FOR x IN b[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS char_offset FROM r)
         SELECT file_id, i AS nth, char_offset, CAST(length(substring(content, 1, char_offset)) - length(replace(substring(content, 1, char_offset), chr(10), '')) + 1 AS BIGINT) AS line_number, matched_text FROM o"""
     out["domain_signals"] = f"WITH {signals()} SELECT file_id, domain, round(p, 6) AS path_score, round(i, 6) AS import_score, round(c, 6) AS content_score, round(combined, 6) AS combined FROM sig WHERE combined > 0"
+    out["training_scan"] = f"WITH {signals()}{CLASSIFY} SELECT file_id, domain, CAST(least(512, len(regexp_extract_all(content, '\\w+|[^\\w\\s]'))) AS BIGINT) AS tokens FROM files JOIN classified USING (file_id) WHERE NOT regexp_matches(path, '__pycache__|\\.git|node_modules|\\.venv|dist|build|\\.next|coverage|\\.pytest_cache') AND NOT regexp_matches(lower(path), 'test_|_test\\.|\\.test\\.|spec_|_spec\\.|\\.spec\\.') AND NOT regexp_matches(path, '\\.generated\\.|_generated\\.|\\.d\\.ts') AND regexp_matches(lower(path), '[^/\\\\]\\.(ts|tsx|js|jsx|py|java|cpp|c|h|go|rs|rb|php|cs|sql)$') AND regexp_matches(content, '\\S')"
     out["domain_classification"] = f"WITH {signals()}{CLASSIFY} SELECT file_id, domain, round(confidence, 6) AS confidence FROM classified"
     out["domain_secondaries"] = f"WITH {signals()}{CLASSIFY} SELECT s.file_id, s.domain, round(s.combined, 6) AS score FROM ranked s JOIN classified c ON s.file_id = c.file_id WHERE s.combined > 0.1 AND s.domain <> c.domain QUALIFY row_number() OVER (PARTITION BY s.file_id ORDER BY s.combined DESC, s.ord) <= 3"
     out["index_members"] = f"WITH {signals()}{CLASSIFY}, k AS (SELECT file_id, domain, row_number() OVER (PARTITION BY domain ORDER BY file_id) AS n, count(*) OVER (PARTITION BY domain) AS size FROM classified WHERE domain <> 'unknown') SELECT file_id, domain FROM k WHERE size >= 3 AND n <= 1000"
@@ -244,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "classifier_recommendations": f"WITH {signals()}{CLASSIFY}, sc AS (SELECT s.file_id, least(3, count(*) FILTER (s.combined > 0.1 AND s.domain <> c.domain)) AS n FROM ranked s JOIN classified c USING (file_id) GROUP BY 1) SELECT file_id, rule_id, severity FROM (SELECT file_id, 'LOW_DOMAIN_CONFIDENCE' AS rule_id, 'info' AS severity FROM classified WHERE confidence < 0.6 UNION ALL SELECT file_id, 'UNKNOWN_DOMAIN', 'warning' FROM classified WHERE domain = 'unknown' UNION ALL SELECT file_id, 'MIXED_DOMAIN_CONCERNS', 'info' FROM sc WHERE n > 2)",
         "divergence_top20": f"WITH {KNN}, u AS (SELECT ref_id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS w, v FROM usable), m AS (SELECT query_id, dim, avg(w[dim]) AS mean FROM knn JOIN u USING (ref_id), range(1, 65) t(dim) GROUP BY ALL) SELECT query_id, CAST(dim - 1 AS BIGINT) AS dim, round(abs(v[dim] - mean), 6) AS diff FROM m JOIN u ON query_id = u.ref_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(abs(v[dim] - mean), 9) DESC, dim) <= 20",
         "index_stats": f"WITH {INDEX} SELECT domain, count(*) AS vectors, count(DISTINCT file_path) AS files, count(DISTINCT commit_id) AS commits FROM usable GROUP BY domain",
+        "compatible_match": f"WITH {NEIGHBOURS}, own AS (SELECT CAST(ref_id AS VARCHAR) AS query_id, max_by(file_path, ref_ord) AS query_file FROM pattern_index WHERE ref_id IS NOT NULL GROUP BY 1), s AS (SELECT near.*, regexp_extract(query_file, '[^/\\\\](\\.[^./\\\\]+)$', 1) AS a, regexp_extract(ref_file, '[^/\\\\](\\.[^./\\\\]+)$', 1) AS b FROM near JOIN own USING (query_id)) SELECT query_id, max_by(ref_file, (similarity, ref_file)) AS ref_file, round(max(similarity), 6) AS similarity FROM s WHERE a = b OR (a IN ('.ts', '.tsx', '.js', '.jsx', '.py') AND b IN ('.ts', '.tsx', '.js', '.jsx', '.py')) GROUP BY query_id",
         "best_compatible": f"WITH {NEIGHBOURS} SELECT query_id, max_by(ref_file, (similarity, ref_file)) AS ref_file, round(max(similarity), 6) AS similarity FROM near WHERE regexp_matches(ref_file, '\\.(ts|tsx|js|jsx)$') GROUP BY query_id",
         "neighbour_log": f"WITH {NEIGHBOURS} SELECT query_id, CAST(rank AS BIGINT) AS rank, ref_id, domain, round(similarity, 6) AS similarity FROM near",
         "weighted_means": f"WITH {WEIGHTED}, t AS (SELECT *, weight / sum(weight) OVER (PARTITION BY query_id) AS w FROM dims) SELECT query_id, round(sum(score * w), 6) AS weighted_average, round(1 / sum(w / greatest(score, 1e-8)), 6) AS weighted_harmonic_mean, round(exp(sum(w * ln(greatest(score, 1e-8)))), 6) AS weighted_geometric_mean FROM t GROUP BY query_id",

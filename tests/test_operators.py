@@ -220,3 +220,47 @@ def test_weights_are_checked():
     for bad in (({"a": 0.5},), ({"a": 1.5, "b": -0.5},), ({"a": 1.0}, {"a": 2.0}), ({"a": 1.0}, None, "no")):
         with pytest.raises(ValueError):
             aggregate.check_weights(*bad)
+
+
+def test_path_predicates(spark):
+    from adherix.functions import paths
+
+    rows = [("src/a.ts", False, ".ts"), ("latest_news.ts", True, ".ts"), (".env", False, ""), (".env.local", False, ".local"), ("x/build/a.js", True, ".js"), ("a.d.ts", True, ".ts"), ("Makefile", False, ""), ("A.PY", False, ".PY"), ("", False, ""), (None, False, None)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "path string")
+    got = {r["path"]: (r["x"], r["s"]) for r in df.select("path", paths.excluded(F.col("path")).alias("x"), paths.suffix(F.col("path")).alias("s")).collect()}
+    assert got == {p: (x, s) for p, x, s in rows}
+    assert all(paths.left_out(p) == x for p, x, _ in rows if p is not None)
+    pairs = spark.createDataFrame([("a.ts", "b.py"), ("a.sql", "b.sql"), ("a.sql", "b.py"), ("a.md", "b.ts"), ("a.md", "b.md")], "a string, b string")
+    assert [r[0] for r in pairs.select(paths.compatible(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, True]
+
+
+def test_training_scan(spark):
+    from adherix.operators import training
+
+    rows = [(1, "a.py", "x = 1"), (2, "a_test.py", "x = 1"), (3, "coverage/a.py", "x"), (4, "b.py", " \n"), (5, "B.GO", "y " * 600), (6, "notes.md", "text"), (7, "c.d.ts", "z")]
+    files = spark.createDataFrame(rows, "file_id long, path string, content string")
+    domains = files.select("file_id", F.lit("backend").alias("domain"))
+    assert {(r["file_id"], r["tokens"]) for r in training.scan(files, domains).collect()} == {(1, 3), (5, 512)}
+    assert [r["file_id"] for r in training.scan(files, domains, tests=True, most=2).collect()] == [1, 2]
+    assert training.scan(files.limit(0), domains).count() == 0
+
+
+def test_whole_file_where_no_function_was_scored(spark):
+    from adherix.operators import similarity
+
+    index = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "ref_id long, file_path string")
+    scored = spark.createDataFrame([(1, 0.4)], "query_id long, score double")
+    whole = spark.createDataFrame([("a", 0.9), ("b", 0.7), ("b", 0.6)], "file_path string, score double")
+    assert {r["file_path"]: r["score"] for r in similarity.file_adherence(index, scored, whole).collect()} == {"a": 0.4, "b": 0.7, "c": 0.0}
+    assert {r["file_path"]: r["score"] for r in similarity.file_adherence(index, scored).collect()} == {"a": 0.4, "b": 0.0, "c": 0.0}
+
+
+def test_classification_of_repeated_rows_and_secondaries(spark):
+    from adherix.operators import classify
+
+    rows = [(1, "tests/api/test_views.py", "import pytest\ndef test_a():\n    assert 1"), (1, "tests/api/test_views.py", "import pytest\ndef test_a():\n    assert 1"), (2, "", "")]
+    got = classify.classify(spark.createDataFrame(rows, "file_id long, path string, content string")).orderBy("file_id").collect()
+    assert [r["domain"] for r in got] == ["testing", "testing", "unknown"] and got[0] == got[1]
+    assert got[2]["confidence"] == 0.5 and got[2]["secondaries"] == []
+    for r in got:
+        assert r["domain"] not in [x["domain"] for x in r["secondaries"]] and len(r["secondaries"]) <= 3

@@ -18,6 +18,11 @@ def repo(tmp_path_factory):
         subprocess.run(["git", "-C", str(path), *a], check=True, capture_output=True, env=env)
 
     git("init", "-q")
+    (path / "dist").mkdir()
+    (path / "dist" / "out.js").write_text("x\n")
+    (path / "a_test.py").write_text("t\n")
+    (path / "types.d.ts").write_text("d\n")
+    (path / "empty.py").write_text("")
     (path / "a.py").write_text("one\ntwo\n")
     (path / "b.bin").write_bytes(b"\xff\xfe\x00")
     (path / "gone.py").write_text("x\n")
@@ -38,11 +43,14 @@ def load(spark, repo, **options):
 
 def test_diff(spark, repo):
     assert load(spark, repo) == {"a.py": ("three", "modified"), "c d.py": ("néw\n", "added")}
-    assert load(spark, repo, commit="HEAD~1") == {"a.py": ("one\ntwo\n", "added"), "gone.py": ("x\n", "added")}
+    assert load(spark, repo, commit="HEAD~1") == {"a.py": ("one\ntwo\n", "added"), "gone.py": ("x\n", "added"), "empty.py": ("", "added")}
 
 
 def test_tree(spark, repo):
-    assert set(load(spark, repo, mode="tree")) == {"a.py", "c d.py"}
+    kept = {"a.py", "c d.py", "empty.py"}
+    assert set(load(spark, repo, mode="tree")) == kept
+    assert set(load(spark, repo, mode="tree", tests="true", generated="true")) == kept | {"a_test.py", "types.d.ts"}
+    assert set(load(spark, repo, mode="tree", exclude="false")) == kept | {"a_test.py", "types.d.ts", "dist/out.js"}
 
 
 def test_bad_ref(spark, repo):
