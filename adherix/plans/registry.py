@@ -304,6 +304,7 @@ def queries() -> dict[str, Query]:
         "triplet_split": lambda s, d: training.split(table(s, d, "pairs").select("pair_id").distinct(), "pair_id").groupBy("split").agg(F.count("*").alias("n")),
         "infonce_loss": lambda s, d: r6(training.infonce(near(s, d).groupBy("query_id").agg(F.max("similarity").alias("positive"), F.min("similarity").alias("negative"), F.count("*").alias("k")).where("k > 1")), "loss"),
         "token_budget": lambda s, d: files(s, d).select("file_id", F.regexp_count("content", F.lit(r"\w+|[^\w\s]")).cast("long").alias("tokens")).where("tokens <= 2048"),
+        "compressed_code": lambda s, d: files(s, d).select("file_id", F.length("content").cast("long").alias("chars"), functions.compress(F.col("content"), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).alias("short")).select("file_id", "chars", F.length("short").cast("long").alias("kept"), F.md5("short").alias("digest")),
         "data_share": lambda s, d: r6(files(s, d).select("file_id", functions.data_share(F.col("content")).alias("share")), "share"),
         "event_windows": lambda s, d: windows.event_windows(table(s, d, "events")).withColumn("total", F.round("total", 4)),
         "event_sessions": lambda s, d: windows.sessions(table(s, d, "events")),

@@ -264,3 +264,59 @@ def test_classification_of_repeated_rows_and_secondaries(spark):
     assert got[2]["confidence"] == 0.5 and got[2]["secondaries"] == []
     for r in got:
         assert r["domain"] not in [x["domain"] for x in r["secondaries"]] and len(r["secondaries"]) <= 3
+
+
+SCRIPT = """import a from 'a';
+export async function top<T>(x: T): Promise<{ y: T }> { if (x) { return { y: x } } }
+const arrow = (x) => {
+  return x; // } not the end
+};
+const short = x => x + 1;
+const typed = (x: string): string => `${x}`;
+class K extends L {
+  private async run(a = "}"): Promise<void> {
+    for (const b of a) { go(b); }
+  }
+  static get size() { return 1 }
+}
+export default function () { return 0 }
+"""
+
+
+@pytest.mark.parametrize(
+    "kind, text, names",
+    [
+        ("ts", SCRIPT, [("top", False, 2, 2), ("arrow", False, 3, 5), ("short", False, 6, 6), ("typed", False, 7, 7), ("run", True, 9, 11), ("size", True, 12, 12), ("func_line_14", False, 14, 14)]),
+        ("go", "package p\n\nfunc (s *S) Run(x interface{}) (int, error) {\n\treturn 1, nil\n}\n\nfunc New[T any](v T) map[string]interface{} {\n\treturn nil\n}\n", [("Run", True, 3, 5), ("New", False, 7, 9)]),
+        ("java", "class A {\n  @Override\n  public List<String> get(int x) throws E, F {\n    if (x > 1) { call(x); }\n    return new B(x) { };\n  }\n  abstract void none();\n}\n", [("get", True, 2, 6)]),
+        ("py", "if x:\n    def f():\n        def g():\n            pass\nclass A:\n    async def m(self): pass\n", [("f", False, 2, 4), ("g", False, 3, 4), ("m", True, 6, 6)]),
+        ("py", "def (", []), ("md", "function f() {}", []), ("ts", "", []), ("ts", "function f( {", []),
+    ],
+)
+def test_functions_by_language(kind, text, names):
+    assert [(n, m, a, b) for n, m, _, a, b in functions.functions_of(text, kind)] == names
+
+
+def test_compression_of_arrays_and_objects(spark):
+    numbers = "const a = [" + ", ".join(str(i) for i in range(600)) + "];"
+    objects = "const o = {" + ", ".join(f"k{i}: [1, 2]" for i in range(200)) + "};\nfunction f() { return 1; }"
+    block = "function f() {" + "g(1);" * 400 + "}"
+    table = 'var t = []string{' + ", ".join('"abc"' for _ in range(300)) + "}"
+    rows = [(numbers, "ts", "const a = [0, 1, 2, 3, 4, /* ... */];"), (objects, "js", "const o = {/* ... */};\nfunction f() { return 1; }"), (block, "ts", block), (table, "go", "var t = []string{/* ... */}"), ("", "ts", ""), (None, "ts", None), ("x = [1]", None, "x = [1]")]
+    df = spark.createDataFrame([(c, k) for c, k, _ in rows], "c string, k string")
+    assert [r[0] for r in df.select(functions.compress(F.col("c"), F.col("k"))).collect()] == [w for *_, w in rows]
+
+
+def test_functions_of_the_given_chunks_are_found_again(spark):
+    """Each chunk of the table is one function whose name the table holds; some chunks are no valid code."""
+    path = "/root/testdata/sf0.001/function_chunks.parquet"
+    try:
+        raw = spark.read.parquet(path)
+    except Exception:
+        pytest.skip("no test data here")
+    one = latest(raw.where("chunk_id IS NOT NULL").select("chunk_id", "ingested_at", "file_path", "function_name", "function_code"), ["chunk_id"], ["ingested_at"], ["file_path", "function_name", "function_code"])
+    one = one.where("function_code <> '' AND function_name NOT LIKE 'file_%' AND file_path IS NOT NULL")
+    files = one.select(F.col("chunk_id").alias("file_id"), F.col("file_path").alias("path"), F.col("function_code").alias("content"))
+    got = functions.extract_functions(files).groupBy("file_id").agg(F.collect_set(F.lower("function_name")).alias("names"))
+    share = one.join(got, one["chunk_id"] == got["file_id"]).agg(F.avg(F.array_contains("names", F.lower("function_name")).cast("int"))).first()[0]
+    assert share > 0.95
