@@ -18,9 +18,9 @@ CHUNKS = "file_id long, path string, function_name string, is_method boolean, co
 # Words before a bracket that make no function, and how functions are declared, per family of languages.
 _CONTROL = {"if", "for", "while", "switch", "catch", "function", "return", "with", "synchronized", "try", "do", "else", "new", "super", "this"}
 _SCRIPT = re.compile(
-    r"(?P<function>(?:\basync\s+)?\bfunction\b\s*\*?\s*(?P<name>[\w$]*)\s*(?:<[^()]*?>)?\s*(?=\())"
-    r"|\b(?:const|let|var)\s+(?P<arrow>(?P<bound>[\w$]+)\s*(?::[^=;]*?)?=\s*(?:async\b\s*)?(?:<[^()=]*?>\s*)?(?:(?=\()|[\w$]+\s*(?==>)))"
-    r"|(?:^|[{};,])[ \t]*(?P<method>(?:(?:public|private|protected|static|override|readonly|async|get|set)\s+)*\*?\s*(?P<member>#?[\w$]+)\s*(?:<[^()]*?>)?\s*(?=\())",
+    r"(?P<function>(?:\basync\s+)?\bfunction\b\s*+\*?\s*+(?P<name>[\w$]*+)\s*+(?:<[^()]*?>\s*+)?(?=\())"
+    r"|\b(?:const|let|var)\s++(?P<arrow>(?P<bound>[\w$]++)\s*+(?::[^=;]*?)?=\s*+(?:async\b\s*+)?(?:<[^()=]*?>\s*+)?(?:(?=\()|[\w$]++\s*+(?==>)))"
+    r"|(?:^|[{};,])[ \t]*+(?P<method>(?:(?:public|private|protected|static|override|readonly|async|get|set)\s++)*\*?\s*+(?P<member>#?[\w$]++)\s*+(?:<[^()]*?>\s*+)?(?=\())",
     re.M,
 )
 _GO = re.compile(r"^func\s+(?P<receiver>\([^)\n]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]\n]*\])?(?=\()", re.M)
